@@ -36,7 +36,7 @@ def dictionary(path: str = VOCABULARY) -> dict[str, float]:
     """Whole words of a tokenizer's vocabulary with their cost in nats, by Zipf's law over the rank."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    words = [w[:-4] for w, _ in sorted(vocab.items(), key=lambda x: x[1]) if w.endswith("</w>") and w[:-4].isalpha() and len(w) >= 7]
+    words = [w[:-4] for w, _ in sorted(vocab.items(), key=lambda x: x[1]) if w.endswith("</w>") and w[:-4].isalpha() and len(w) >= 8]
     return {w: math.log(rank + 10.0) + 1.0 for rank, w in enumerate(words)}
 
 
@@ -63,7 +63,7 @@ class Segmenter:
         left = [0] * (n + 1)
         for j in range(1, n + 1):
             best[j], left[j] = best[j - 1] + self.UNKNOWN, left[j - 1] + 1
-            for i in range(max(0, j - self.longest), j - 2):
+            for i in range(max(0, j - self.longest), j - 3):
                 cost = self.words.get(low[i:j])
                 if cost is not None and best[i] + cost < best[j]:
                     best[j], left[j] = best[i] + cost, left[i]
@@ -104,8 +104,10 @@ TALK = re.compile(
     r"(?i)(?<![a-z])(?:pass(?:word|wort|wd|code|phrase)?s?|pw|pwd|kennwort|contraseñas?|claves?|mot de passe|secret|geheimnis|secreto|token|jeton|api[ -]?key|key|schlüssel|clé|llave|login|log in|bearer|credentials?|zugangsdaten|pin)(?![a-z])"
 )
 TALK_PASSWORD = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wort|wd|code|phrase)?|pw|pwd|kennwort|contraseña|clave|mot de passe|login|log in|zugangsdaten|pin/pw)(?![a-z])")
+#: words and signs right before a password that is told
+STATED = re.compile(r"(?:[:>/=]|\b(?:lautet|ist|es|is|to|pass|est|son))\s+[\"'`]?$", re.I)
 DIGEST_TALK = re.compile(r"(?i)\b(?:sha-?\d*|md5(?:sum)?|etag|digest|checksum|integrity|commit|trace-?id|x-request-id|request-id|fingerprint|revision|build|docker|ssh-(?:rsa|ed25519|dss)|ecdsa-sha2\S*|data:image|public[_ -]?key|uuid|guid)\b|^\s*id\b")
-PLACEHOLDER = re.compile(r"(?i)(?:x{5,}|\*{3,}|\.{3,}|…|_{4,}|0{8,}|(?:your|my|the|some|insert|replace|change)[_ -]|redacted|masked|placeholder|example[_-]?(?:key|token|secret)|dummy|todo|<[^>]*>|\[[^\]]*\]|\{[^}]*\}|\$[A-Za-z_{(]|%[A-Za-z_]+%)")
+PLACEHOLDER = re.compile(r"(?i)(?:x{5,}|\*{3,}|\.{3,}|…|_{4,}|0{8,}|(?<![a-z0-9])(?:your|my|the|some|insert|replace|change)[_ -]|redacted|(?<![a-z0-9])(?:masked|placeholder|dummy|todo)(?![a-z0-9])|example[_-]?(?:key|token|secret)|EXAMPLE$|<[^>]*>|\[[^\]]*\]|\{[^}]*\}|\$[A-Za-z_{(]|%[A-Za-z_]+%)")
 REFERENCE = re.compile(r"(?i)^(?:(?:os|process|sys|env|config|settings|secrets?|vault|self|this|ctx|ctrl|data|app|params?|request|getpass|random|crypto|jwt|ENV)[.\[(]|\w+\(|[\w.]+\[|/|\./|~/|file:|env:|vault:|arn:|kv/|none$|null$|nil$|true$|false$|undefined$|str$|string$|int$|bytes$|https?://[^?&]*$)")
 HEX = re.compile(r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
@@ -127,10 +129,15 @@ class Detector:
     # ---- judging one literal
     def is_value(self, v: str) -> bool:
         """Neither a placeholder, a reference, a number, an address nor prose."""
-        if v.startswith("/") and re.fullmatch(r"[A-Za-z0-9+/]{30,}={0,2}", v) and self.seg.residual(v) >= len(v) * 0.6:
+        if v.startswith("/") and re.fullmatch(r"[A-Za-z0-9+/]{30,}={0,2}", v) and (self.seg.residual(v) >= len(v) * 0.5 or self.irregular(v)):
             return True  # base64 may begin like a path
         return not (len(v) < 6 or " " in v.strip() or PLACEHOLDER.search(v) or REFERENCE.search(v) or re.fullmatch(r"[\d.,:/+-]+", v) or len(set(v)) < 4)
 
+    @staticmethod
+    def irregular(v: str) -> bool:
+        """Case changes that no word and no camelCase has."""
+        return len(re.findall(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[a-z][A-Z][A-Z]|[A-Z][a-z][A-Z]", v)) >= 3
+
     def password(self, v: str) -> bool:
         if not self.is_value(v) or len(v) < 7 or DIGEST.match(v):
             return False
@@ -139,7 +146,7 @@ class Detector:
             return False
         if digits and letters:
             return self.seg.residual(v) >= self.PASSWORD_RESIDUAL
-        return self.seg.residual(v) >= 7 or bool(letters and other >= 1 and re.search(r"[!#$%&*?^]", v))
+        return self.seg.residual(v) >= (5 if self.irregular(v) else 7) or bool(letters and other >= 1 and re.search(r"[!#$%&*?^]", v))
 
     def secret(self, v: str, least: int | None = None) -> bool:
         if not self.is_value(v) or DIGEST.match(v):
@@ -150,7 +157,8 @@ class Detector:
             return False
         if re.fullmatch(r"[a-z]+(?:[-_.:][a-z0-9]+)*", v) and not re.search(r"\d.*[a-z].*\d", v):
             return False
-        return len(v) >= 12 and self.seg.residual(v) >= (least or self.SECRET_RESIDUAL)
+        least = least or self.SECRET_RESIDUAL
+        return len(v) >= 12 and self.seg.residual(v) >= (least / 2 if self.irregular(v) else least)
 
     def encoded(self, v: str) -> bool:
         """Base64 that decodes to printable text of a password's shape."""
@@ -160,7 +168,7 @@ class Detector:
             t = base64.b64decode(v + "=" * (-len(v) % 4), validate=True).decode("ascii")
         except ValueError:
             return False
-        return len(t) >= 7 and t.isprintable() and " " not in t and not t.isalpha()
+        return len(t) >= 7 and t.isprintable() and " " not in t and (not t.isalpha() or self.irregular(t))
 
     def lone(self, v: str) -> bool:
         """A literal that stands alone as a text: already cut out by some validator."""
@@ -176,7 +184,9 @@ class Detector:
             return False
         if re.search(r"\d", v) and re.search(r"[a-z]", v):
             return self.seg.residual(v) >= self.PASSWORD_RESIDUAL and not re.search(r"[/\\:.]", v) or self.seg.residual(v) >= self.LONE_RESIDUAL
-        return self.seg.residual(v) >= (10 if re.search(r"[a-z][A-Z]", v) and re.search(r"[A-Z]{2}", v) else 16)
+        if re.fullmatch(r"[a-z]{7,}[!#$%&*?]", v):
+            return v[:-1] not in self.seg.words
+        return self.seg.residual(v) >= (5 if self.irregular(v) else 16)
 
     # ---- one text
     def spans(self, text: str, alone: bool = False) -> list[tuple[int, int, str]]:
@@ -197,7 +207,7 @@ class Detector:
             shut.append(out[-1][:2])
         free = lambda a: not any(x <= a < y for x, y in shut)
         for m in VENDOR.finditer(text):
-            if free(m.start()) and not PLACEHOLDER.search(m[0].replace("test_", "")) and not text.startswith("...", m.end()) and self.seg.residual(m[0]) >= 5:
+            if free(m.start()) and not PLACEHOLDER.search(m[0].replace("test_", "")) and not text.startswith("...", m.end()) and (self.seg.residual(m[0]) >= 5 or m[0].startswith(("AKIA", "ASIA")) and re.search(r"\d", m[0])):
                 out.append((*m.span(), "VENDOR_KEY"))
         at = 0
         lines = text.split("\n")
@@ -237,7 +247,7 @@ class Detector:
                 i = line.index(v)
                 return [(i, i + len(v), pending)], ""
         for m in USERINFO.finditer(line):
-            if self.is_value(m[2]) and not re.fullmatch(r"[A-Za-z]+", m[2]):
+            if self.is_value(m[2]) and (not m[2].isalpha() or self.seg.residual(m[2]) >= 5):
                 out.append((*m.span(2), "CONNECTION"))
         for m in LINK_TOKEN.finditer(line):
             if self.secret(m[1]):
@@ -250,7 +260,7 @@ class Detector:
             password = PASSWORD_NAME.search(key)
             if not password and not SECRET_NAME.search(key) or NOT_SECRET_NAME.search(key):
                 continue
-            if raw in ("|", ">", ">-", "|-", '"""', "'''") or not raw.strip("\"'`"):
+            if raw in ("|", ">", ">-", "|-", '"""', "'''"):
                 waits = "PASSWORD" if password else "SECRET"
                 continue
             v = re.sub(r"[\"']\s*\+\s*[\"']", "", raw).strip("\"'`")
@@ -262,9 +272,9 @@ class Detector:
                 continue  # a call or an index
             if raw[:1] not in "\"'`" and line[m.end() : m.end() + 1] == "&" and password:
                 v = re.match(r"[^\s\"';,]+", line[m.start("val") :])[0]  # & may belong to a password
-            if self.password(v) if password else self.secret(v) or self.encoded(v) and len(v) >= 12:
+            if (self.password(v) if password else self.secret(v)) or len(v) >= 12 and self.encoded(v):
                 out.append((i, i + max(len(v), len(raw) - 2 * (raw[:1] in "\"'`")), "PASSWORD" if password else "SECRET"))
-        if re.search(r"(?:[:=]|<<\s*\w+)\s*(?:[|>]-?|\"\"\"|''')?\s*$", line) and not waits:
+        if re.search(r"(?:[:=]\s*(?:[|>]-?|\"\"\"|''')|<<\s*\w+)\s*$", line) and not waits:
             k = re.match(r"\s*[\"']?([\w.-]+)[\"']?\s*[:=]", line)
             if k and not NOT_SECRET_NAME.search(k[1]):
                 waits = "PASSWORD" if PASSWORD_NAME.search(k[1]) else "SECRET" if SECRET_NAME.search(k[1]) else ""
@@ -276,9 +286,10 @@ class Detector:
             hint = bool(TALK_PASSWORD.search(line))
             for m in re.finditer(r"[^\s\"'`,;<>(){}\[\]=]{8,}", line):
                 v = m[0].rstrip(".:)") if not m[0].endswith("...") else ""
-                if not re.search(r"\d", v) and not (hint and re.search(r"[a-z][A-Z]+[a-z]+[A-Z]", v)) or not re.search(r"[A-Za-z]", v) or "://" in v or re.search(r"@|\\|\w\.\w+\.|^[\w-]+\.[a-z]{2,5}$", v):
+                stated = hint and (self.irregular(v) or re.fullmatch(r"[a-z]{7,}[!#$%&*?]", v) and STATED.search(line[: m.start()]))
+                if not re.search(r"\d", v) and not stated or not re.search(r"[A-Za-z]", v) or "://" in v or re.search(r"@|\\|\w\.\w+\.|^[\w-]+\.[a-z]{2,5}$", v):
                     continue
-                if re.search(r"[a-z]", v) and (hint and self.password(v) or self.secret(v, self.TALK_RESIDUAL)) and not re.fullmatch(r"[a-z]+[-_][\w-]+|#\w+", v):
+                if re.search(r"[a-z]", v) and (hint and self.password(v) or self.secret(v, self.TALK_RESIDUAL)) and (hint or not re.fullmatch(r"[a-z]+[-_][\w-]+|#\w+", v)):
                     out.append((m.start(), m.start() + len(v), "PASSWORD" if hint else "SECRET"))
         return out, waits
 

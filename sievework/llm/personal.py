@@ -88,7 +88,7 @@ NAME = re.compile(
 )
 NAME_BEFORE = re.compile(
     r"(?i)(?:customer|client|kunde|cliente|patient|tenant|author|written by|signed(?: by)?|contact|name['\"]?\s*[:=]\s*['\"]?|my name is|i am|ich heiße|mein name ist|me llamo|mi nombre es|je m'appelle|je suis"
-    r"|parcel for|reply to|attn\.?|dear|liebe[r]?|hola|bonjour|yesterday|gestern hat|hier|ayer|minutes say that|and|und|et|y|can|told by|met|from|as|call(?:ed)?|ask(?:ed)?|thanks to|hi|hello)[\s:,]*$"
+    r"|parcel for|reply to|attn\.?|dear|liebe[r]?|hola|bonjour|yesterday|gestern hat|hier|ayer|minutes say that|and|und|et|y|can|told by|met|from|as|call(?:ed)?|ask(?:ed)?|thanks to|hi|hello|\|)[\s:,]*$"
 )
 SIGN_OFF = re.compile(r"(?i)^\s*(?:kind regards|best regards|regards|best wishes|sincerely|yours(?: \w+)?|cheers|thanks|mit freundlichen grüßen|viele grüße|liebe grüße|cordialement|bien à vous|amicalement|un saludo|saludos|atentamente|un cordial saludo)\s*[,.!]?\s*$")
 ORGANISATION = re.compile(
@@ -116,27 +116,28 @@ PHONE_WORD = re.compile(r"(?i)(?:phone|tel(?:efon|éfono|éphone)?|call|ring|mob
 SSN = re.compile(r"(?<![\w.+-])(\d{3})([- ]?)(\d{2})\2(\d{4})(?![\w-]|\.\d)")
 NIR = re.compile(r"(?<![\w.+-])[1-478]\s?\d{2}\s?(?:0[1-9]|1[0-2]|[2-9]\d)\s?(?:\d{2}|2[AB])\s?\d{3}\s?\d{3}\s?\d{2}(?![\w-]|\.\d)")
 DNI = re.compile(r"(?<![\w.-])(?:(\d{8})-?([A-Z])|(\d{1,2}\.\d{3}\.\d{3})-?([A-Z])|[XYZ]-?\d{7}-?[A-Z])(?![\w-]|\.\d)")
-PASSPORT = re.compile(r"(?<![\w.-])(?:[A-Z]\d{8}|(?=[A-Z0-9]*\d)[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{8})(?![\w-]|\.\d)")
+PASSPORT = re.compile(r"(?<![\w.-])(?:[A-Z]\d{8}|[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ0-9]{8})(?![\w-]|\.\d)")
 STEUER = re.compile(r"(?<![\w.+-])[1-9]\d \d{3} \d{3} \d{3}(?![\w-]|\.\d)")
 ID_WORD = re.compile(r"(?i)(?:passport|passeport|reisepass|pasaporte|travel document|personalausweis|ausweis|identi|national id|\bdni\b|\bnie\b|\bnif\b|social|soc\.? sec|soziale?|sécurité|seguridad|\bssn\b|steuer|tax id|form still shows|\bnumber\b|n°|nr\.)")
 NOT_ID = re.compile(r"(?i)(?:lot|range|batch|order|invoice|part(?: number)?|serial|build|version|ticket|tracking|sku|isbn|model|commit|revision|flight|timestamp|phone|tel\.?|epoch)[\s:#.nº°-]*$")
 UNIT_AFTER = re.compile(r"(?i)^\s*(?:ms|kg|mm|cm|km|bytes|kb|mb|of\s+\w+|rows|items|pcs)\b")
 # Words for streets and postal boxes.
 _STREET_EN = r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Terrace|Court|Ct|Boulevard|Blvd|Drive|Dr|Way|Place|Square|Crescent|Close|Row|Parkway|Hwy)"
-_UNIT = r"(?:,?\s*(?:#\s?\d+\w?|(?:Apt|Unit|Suite|Ste|Flat|Floor|No)\.?\s*\w+))?"
+_UNIT = r"(?:,?[ ]?(?:#\s?\d+\w?|(?:Apt|Unit|Suite|Ste|Flat|Floor|No)\.?[ ]\w+))?"
 _TOWN = rf"[{_UP}][\w'’-]*[{_LOW}](?:[ -][{_UP}][\w'’-]+){{0,3}}"
 ADDRESS = re.compile(
     rf"(?<![\w-])(?:"
     rf"\d{{1,5}}[a-z]?\s(?:[NSEW]\.?\s)?(?:[{_UP}][\w'’-]+\s){{1,3}}{_STREET_EN}\b\.?{_UNIT}(?:,\s*{_TOWN}(?:,?\s*(?:[A-Z]{{2}}\s*)?\d{{4,6}}(?:-\d{{4}})?)?)?"
     rf"|(?i:p\.?\s?o\.?\s?box|postfach|apartado(?: de correos)?|boîte postale|\bBP(?=\s))\s*\d{{1,6}}(?:,\s*{_TOWN}(?:\s\d{{4,6}})?)?"
-    rf"|(?:[{_UP}][{_LOW}]+(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm|steig|hof|markt)|(?:Am|An der|Auf dem|Im|In der|Zum|Zur)\s[{_UP}][\w-]+(?:\s[{_UP}][\w-]+)?|(?:[{_UP}][\w-]+\s)(?:Straße|Weg|Allee|Platz|Gasse|Ring))\s\d{{1,4}}\s?[a-z]?\b(?:,\s*\d{{4,5}}\s{_TOWN})?"
+    rf"|(?:[{_UP}][{_LOW}]+(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm|steig|hof|markt)|(?:[{_UP}][\w-]+\s)(?:Straße|Weg|Allee|Platz|Gasse|Ring))\s\d{{1,4}}\s?[a-z]?\b(?:,\s*\d{{4,5}}\s{_TOWN})?"
+    rf"|(?:Am|An der|Auf dem|Im|In der|Zum|Zur)\s[{_UP}][\w-]+(?:\s[{_UP}][\w-]+)?\s\d{{1,4}}\s?[a-z]?,\s*\d{{4,5}}\s{_TOWN}"
     rf"|\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s(?:rue|avenue|av\.|chemin|impasse|boulevard|bd|allée|place|quai|route|cours|passage|square|sentier)\s(?:(?:de la|de l'|du|des|de|d')\s?)?[{_UP}][\w'’-]+(?:[ -][{_UP}][\w'’-]+)*(?:,\s*\d{{5}}\s{_TOWN})?"
     rf"|(?:C/|Calle|Avenida|Avda\.|Plaza|Paseo|Camino|Carretera|Ronda|Travesía)\s?(?:(?:de las|de los|de la|del|de)\s)?[{_UP}][\w'’-]+(?:\s(?:de\s)?[{_UP}][\w'’-]+)*,?\s\d{{1,4}}(?:,\s*(?:bajo|\d+º\s?\w*\.?))?(?:,\s*\d{{5}}\s{_TOWN})?"
     rf")"
 )
 CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?\b")
-GATE = re.compile(rf"@|\b[aA][tT]\b|\d{{2}}|[{_UP}]\d|[{_UP}][\w.’'-]*,?\s+[{_UP}]")
+GATE = re.compile(rf"@|\b[aA][tT]\b|\d{{2}}|[{_UP}]\d|[{_UP}]{{9}}|[{_UP}][\w.’'-]*,?\s+[{_UP}]")
 TLD = re.compile(r"(?i)^(?:[a-z]{2}|com|net|org|edu|gov|mil|int|info|biz|name|pro|app|dev|online|shop|site|tech|cloud|example|test|invalid|local|mail|email|museum|coop|jobs|mobi|travel)$")
 
 
@@ -147,7 +148,9 @@ class Finder:
         self.given = given
 
     def _emails(self, t: str) -> Iterator[Span]:
-        for m in EMAIL.finditer(t):
+        at = 0
+        while m := EMAIL.search(t, at):
+            at = m.end("local")  # a word before the address may have looked like its local part
             dom = re.sub(r"\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s(?:DOT|dot)\s", ".", m["dom"])
             labels = dom.split(".")
             plain = m["at"].strip() == "@"
@@ -156,8 +159,9 @@ class Finder:
             if m["local"].lower() == "git" or not plain and m["at"].strip().lower() == "at" and ("." in m["dom"] and not re.search(r"[._+\d]", m["local"])):
                 continue
             before = t[max(0, m.start() - 24) : m.start()]
-            if re.search(r"\w://[^\s]*$", before):
-                continue
+            if re.search(r"\w://[^\s]*$|\b(?:ssh|scp|sftp|rsync|telnet|mosh|clone)\s+(?:-\S+\s+)*$", before):
+                continue  # login part of a link or a remote
+            at = m.end()
             yield Span(m.start(), m.end(), "EMAIL", 0.95 if plain else 0.8)
 
     def _numbers(self, t: str) -> Iterator[Span]:
@@ -192,7 +196,7 @@ class Finder:
             before = t[max(0, m.start() - 40) : m.start()]
             if NOT_ID.search(before):
                 continue
-            alone = m[0] == t.strip(" .,;)")
+            alone = m[0] == t.strip(" .,;)") and any(c.isdigit() for c in m[0])
             yield Span(m.start(), m.end(), "ID_NUMBER", 0.2 + 0.5 * bool(ID_WORD.search(before)) + 0.35 * alone)
         for m in STEUER.finditer(t):
             yield Span(m.start(), m.end(), "ID_NUMBER", 0.2 + 0.5 * bool(ID_WORD.search(t[max(0, m.start() - 40) : m.start()])))
@@ -208,8 +212,6 @@ class Finder:
             before = t[max(0, m.start() - 24) : m.start()]
             if re.search(r"(?i)(?:page|slot|route|lamp|version|chapter|figure|table|order|build|step)\s*$", before):
                 continue
-            if re.match(r"(?:Am|Im|An der|Auf dem|In der|Zum|Zur)\s", m[0]) and re.search(r"(?i)\s(?:jahr|januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember|tag|morgen|abend)\s", m[0]):
-                continue
             yield Span(m.start(), m.end(), "ADDRESS", 0.8)
 
     def _names(self, t: str, alone: bool) -> Iterator[Span]:
@@ -240,6 +242,8 @@ class Finder:
                 score -= 0.6
             if sur.lower() in STOP_NAME:
                 score -= 0.5
+            if score < THRESHOLD:
+                at = m.start() + len(re.split(r"[ \u00a0,]", m[0], maxsplit=1)[0])  # the next word may begin a name
             yield Span(start, m.end(), "NAME", score)
 
     def spans(self, text: str, alone: bool = False) -> list[Span]:
