@@ -47,6 +47,11 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + _translate(pattern, BOUNDARY)
 
 
+def loose(pattern: str, ignore_case: bool = False) -> str:
+    """For Spark, without boundaries: matches wherever the pattern does, and is several times quicker."""
+    return ("(?i)" if ignore_case else "") + _translate(pattern, "")
+
+
 def re2(pattern: str, ignore_case: bool = False) -> str:
     """For DuckDB."""
     return ("(?i)" if ignore_case else "") + _translate(pattern, r"\b")

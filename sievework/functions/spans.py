@@ -14,7 +14,7 @@ SENTINEL = ""
 RAW = "array<struct<position:int,length:int,text:string>>"
 
 
-def spans(text: Column, pattern: str | Column, test: Column | None = None) -> Column:
+def spans(text: Column, pattern: str | Column, test: Column | None = None, loose: str | None = None) -> Column:
     """``array<struct<position, length, text>>`` of the non-overlapping matches; empty for null.
 
     ``pattern`` must not match the empty string. ``test`` is a cheap condition that must hold for a match to
@@ -31,6 +31,8 @@ def spans(text: Column, pattern: str | Column, test: Column | None = None) -> Co
 
     folded = F.aggregate(parts, start, step, lambda acc: acc["out"])
     holds = F.regexp_like(text, pattern)
+    if loose is not None:
+        holds = F.regexp_like(text, F.lit(loose)) & holds
     return F.when((test & holds) if test is not None else holds, folded).otherwise(F.array().cast(RAW))
 
 

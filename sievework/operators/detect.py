@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievework.functions.dialect import java
+from sievework.functions.dialect import java, loose
 from sievework.functions.spans import RAW, spans
 from sievework.operators import rules as R
 
@@ -78,15 +78,30 @@ def shortened(value: Column, most: int = 60) -> Column:
 
 
 # --------------------------------------------------------------------------------------------------- detectors
+RUN_OF_20, RUN_OF_40 = (f"(?:^|[^A-Za-z0-9+/])[A-Za-z0-9+/]{{{n}}}" for n in (20, 40))
+
+
 def _test(rule: R.Rule, lower: Column) -> Column | None:
-    return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(h)) for h in rule.hints]) if rule.hints else None
+    groups = [reduce(lambda a, b: a | b, [F.contains(lower, F.lit(h)) for h in g]) for g in (rule.hints, rule.also) if g]
+    return reduce(lambda a, b: a & b, groups) if groups else None
+
+
+def long_run(text: Column) -> Column:
+    """Whether twenty characters of base64 stand in a row; several rules need that."""
+    return F.regexp_like(text, F.lit(RUN_OF_20))
 
 
-def by_rules(text: Column, lower: Column, validator: str, show) -> Column:
-    """Findings of all rules of ``validator``, in the order of the rules."""
+def by_rules(text: Column, lower: Column, validator: str, show, run: Column | None = None) -> Column:
+    """Findings of all rules of ``validator``, in the order of the rules. ``run``: ``long_run``, if at hand."""
 
     def one(rule: R.Rule) -> Column:
-        hits = spans(text, java(rule.pattern, rule.ignore_case), _test(rule, lower))
+        # a run of many characters can only begin where another kind of character ends
+        long = rule.type in ("AWS_SECRET_KEY", "AZURE_KEY")
+        quick = RUN_OF_40 if long else loose(rule.pattern, rule.ignore_case)
+        test = _test(rule, lower)
+        if long and run is not None:
+            test = run if test is None else test & run
+        hits = spans(text, java(rule.pattern, rule.ignore_case), test, quick)
         if rule.check:
             hits = F.filter(hits, lambda h: CHECKS[rule.check](h["text"]))
         return F.transform(hits, lambda h: finding(rule.type, show(h["text"], rule.type), h["position"], h["length"], rule.confidence, rule.severity, validator))
@@ -99,9 +114,9 @@ def pii(text: Column, lower: Column) -> Column:
     return F.when(F.contains(text, F.lit("@")) | F.regexp_like(text, F.lit("[0-9]")), by_rules(text, lower, "pii", mask_personal)).otherwise(none())
 
 
-def secrets(text: Column, lower: Column) -> Column:
+def secrets(text: Column, lower: Column, run: Column | None = None) -> Column:
     show = lambda v, kind: F.when(F.length(v) > 8, F.concat(F.left(v, F.lit(4)), F.lit("***"), F.right(v, F.lit(2)))).otherwise(F.lit("***"))
-    return by_rules(text, lower, "secrets", show)
+    return by_rules(text, lower, "secrets", show, run)
 
 
 def injection(text: Column, lower: Column) -> Column:
@@ -115,10 +130,9 @@ def decoded(candidate: Column) -> Column:
     return F.make_valid_utf8(F.unbase64(bare).cast("string"))
 
 
-def payloads(text: Column) -> Column:
+def payloads(text: Column, run: Column | None = None) -> Column:
     """Base64 runs that decode to readable text with a suspicious word."""
-    long_run = F.regexp_like(text, F.lit("[A-Za-z0-9+/]{20}"))
-    hits = spans(text, java(R.BASE64), long_run)
+    hits = spans(text, java(R.BASE64), long_run(text) if run is None else run)
     # '=' is no word character, so the boundary keeps it out of the match
     with_text = F.transform(hits, lambda h: F.struct(h["position"].alias("position"), h["length"].alias("length"), decoded(h["text"]).alias("d")))
     readable = lambda d: F.length(F.regexp_replace(d, "[^ -~]", "")) / F.length(d) >= 0.7
@@ -133,7 +147,7 @@ def zero_width(text: Column) -> Column:
     """The first invisible character only."""
     at = F.regexp_instr(text, F.lit(R.ZERO_WIDTH)) - 1
     one = finding("UNICODE_OBFUSCATION", F.concat(F.lit("[zero-width characters detected at position "), at.cast("string"), F.lit("]")), at, F.lit(1), 0.70, "medium", "jailbreak")
-    return F.when(at >= 0, F.array(one)).otherwise(none())
+    return F.when(F.regexp_like(text, F.lit(R.ZERO_WIDTH)), F.array(one)).otherwise(none())
 
 
 def mixed_scripts(text: Column) -> Column:
@@ -143,8 +157,8 @@ def mixed_scripts(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(R.CYRILLIC)) & F.regexp_like(text, F.lit("[a-zA-Z]")), F.array(one)).otherwise(none())
 
 
-def jailbreak(text: Column, lower: Column) -> Column:
-    rest = [payloads(text), zero_width(text), mixed_scripts(text)]
+def jailbreak(text: Column, lower: Column, run: Column | None = None) -> Column:
+    rest = [payloads(text, run), zero_width(text), mixed_scripts(text)]
     return F.coalesce(F.concat(by_rules(text, lower, "jailbreak", lambda v, kind: shortened(v)), *rest), none())
 
 
@@ -170,4 +184,6 @@ def toxicity(text: Column, lower: Column, custom: Sequence[str] = ()) -> Column:
     return F.coalesce(F.flatten(found), none())
 
 
+#: detectors that can use ``long_run``
+RUN_USERS = ("secrets", "jailbreak")
 DETECTORS = {"pii": pii, "secrets": secrets, "injection": injection, "jailbreak": jailbreak, "toxicity": toxicity}

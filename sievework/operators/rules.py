@@ -7,7 +7,10 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern. ``hints``: lower-case strings of which a text must hold one for the pattern to match."""
+    """One pattern.
+
+    ``hints`` and ``also``: lower-case strings; a text must hold one of each for the pattern to match.
+    """
 
     type: str
     severity: str
@@ -16,6 +19,7 @@ class Rule:
     ignore_case: bool = False
     hints: tuple[str, ...] = ()
     check: str = ""
+    also: tuple[str, ...] = ()
 
 
 SEVERITIES = ("low", "medium", "high", "critical")
@@ -54,39 +58,39 @@ SECRETS = [
     Rule("PASSWORD", "high", 0.70, r"(?:password|passwd|pwd)\s*[:=]\s*['\"]?[^\s'\"]{8,}", True, ("password", "passwd", "pwd")),
 ]
 INJECTION = [
-    Rule("INSTRUCTION_OVERRIDE", "critical", 0.95, r"\b(?:ignore|disregard|forget|override|bypass|skip)\s+(?:all\s+)?(?:previous|prior|above|earlier|preceding|your|the)\s+(?:instructions?|rules?|guidelines?|directives?|constraints?|prompts?)\b", True, ("ignore", "disregard", "forget", "override", "bypass", "skip")),
+    Rule("INSTRUCTION_OVERRIDE", "critical", 0.95, r"\b(?:ignore|disregard|forget|override|bypass|skip)\s+(?:all\s+)?(?:previous|prior|above|earlier|preceding|your|the)\s+(?:instructions?|rules?|guidelines?|directives?|constraints?|prompts?)\b", True, ("ignore", "disregard", "forget", "override", "bypass", "skip"), also=("instruction", "rule", "guideline", "directive", "constraint", "prompt")),
     Rule("INSTRUCTION_OVERRIDE", "critical", 0.92, r"\b(?:do\s+not\s+follow|stop\s+following|abandon)\s+(?:your|the|any|all)?\s*(?:instructions?|rules?|guidelines?|system\s+prompt)\b", True, ("follow", "abandon")),
     Rule("INSTRUCTION_OVERRIDE", "critical", 0.95, r"\bforget\s+everything\s+(?:above|before|previously|you\s+(?:were|have\s+been)\s+told)\b", True, ("everything",)),
-    Rule("ROLE_HIJACK", "high", 0.80, r"\b(?:you\s+are\s+now|from\s+now\s+on\s+you\s+(?:are|will)|act\s+as\s+if\s+you\s+(?:are|were)|pretend\s+(?:to\s+be|you\s+are)|i\s+want\s+you\s+to\s+(?:act|behave|respond)\s+as)\b", True, ("you", "pretend")),
-    Rule("ROLE_HIJACK", "high", 0.85, r"\b(?:you\s+(?:must|should|will|shall)\s+now\s+(?:act|behave|respond|operate)\s+(?:as|like))\b", True, ("now",)),
-    Rule("ROLE_HIJACK", "high", 0.90, r"\byour\s+new\s+(?:role|persona|identity|character|instructions?)\s+(?:is|are)\b", True, ("your",)),
-    Rule("PROMPT_EXTRACTION", "critical", 0.90, r"\b(?:(?:show|reveal|display|print|output|repeat|echo|tell\s+me)\s+(?:your|the)\s+(?:system\s+)?(?:prompt|instructions?|rules?|guidelines?|configuration|initial\s+(?:prompt|instructions?)))\b", True, ("prompt", "instruction", "rule", "guideline", "configuration")),
-    Rule("PROMPT_EXTRACTION", "high", 0.75, r"\b(?:what\s+(?:are|were)\s+(?:your|the)\s+(?:system\s+)?(?:instructions?|rules?|guidelines?|prompt))\b", True, ("what",)),
+    Rule("ROLE_HIJACK", "high", 0.80, r"\b(?:you\s+are\s+now|from\s+now\s+on\s+you\s+(?:are|will)|act\s+as\s+if\s+you\s+(?:are|were)|pretend\s+(?:to\s+be|you\s+are)|i\s+want\s+you\s+to\s+(?:act|behave|respond)\s+as)\b", True, ("you", "pretend"), also=("now", "act", "pretend", "want")),
+    Rule("ROLE_HIJACK", "high", 0.85, r"\b(?:you\s+(?:must|should|will|shall)\s+now\s+(?:act|behave|respond|operate)\s+(?:as|like))\b", True, ("now",), also=("you",)),
+    Rule("ROLE_HIJACK", "high", 0.90, r"\byour\s+new\s+(?:role|persona|identity|character|instructions?)\s+(?:is|are)\b", True, ("your",), also=("new",)),
+    Rule("PROMPT_EXTRACTION", "critical", 0.90, r"\b(?:(?:show|reveal|display|print|output|repeat|echo|tell\s+me)\s+(?:your|the)\s+(?:system\s+)?(?:prompt|instructions?|rules?|guidelines?|configuration|initial\s+(?:prompt|instructions?)))\b", True, ("prompt", "instruction", "rule", "guideline", "configuration"), also=("show", "reveal", "display", "print", "output", "repeat", "echo", "tell")),
+    Rule("PROMPT_EXTRACTION", "high", 0.75, r"\b(?:what\s+(?:are|were)\s+(?:your|the)\s+(?:system\s+)?(?:instructions?|rules?|guidelines?|prompt))\b", True, ("what",), also=("instruction", "rule", "guideline", "prompt")),
     Rule("PROMPT_EXTRACTION", "critical", 0.92, r"\brepeat\s+(?:everything|all|the\s+text)\s+(?:above|before|from\s+the\s+(?:beginning|start))\b", True, ("repeat",)),
-    Rule("CONTEXT_MANIPULATION", "high", 0.88, r"\b(?:end\s+of\s+(?:system\s+)?(?:message|prompt|instructions?)|---\s*(?:begin|start)\s+(?:user|new)\s+(?:session|context|conversation))\b", True, ("end", "---")),
+    Rule("CONTEXT_MANIPULATION", "high", 0.88, r"\b(?:end\s+of\s+(?:system\s+)?(?:message|prompt|instructions?)|---\s*(?:begin|start)\s+(?:user|new)\s+(?:session|context|conversation))\b", True, ("end", "---"), also=("message", "prompt", "instruction", "session", "context", "conversation")),
     Rule("CONTEXT_MANIPULATION", "medium", 0.70, r"\b(?:new\s+conversation|reset\s+(?:context|session|memory)|clear\s+(?:context|history|previous\s+(?:messages|conversation)))\b", True, ("conversation", "reset", "clear")),
     Rule("CONTEXT_MANIPULATION", "high", 0.90, r"\[\s*(?:system|SYSTEM)\s*\]|\[\s*(?:INST|inst)\s*\]|<\s*(?:system|SYSTEM)\s*>|<<\s*SYS\s*>>", hints=("[", "<")),
     Rule("DELIMITER_INJECTION", "high", 0.85, r"```\s*(?:system|instructions?|rules?)\b", True, ("```",)),
     Rule("DELIMITER_INJECTION", "high", 0.90, r"\bHuman:|Assistant:|System:|User:|<\|(?:im_start|im_end|system|user|assistant)\|>", True, ("human:", "assistant:", "system:", "user:", "<|")),
-    Rule("RESTRICTION_REMOVAL", "critical", 0.92, r"\b(?:(?:remove|disable|turn\s+off|deactivate|lift)\s+(?:all\s+)?(?:restrictions?|limitations?|filters?|safety|guardrails?|censorship|content\s+(?:filter|policy)))\b", True, ("restriction", "limitation", "filter", "safety", "guardrail", "censorship", "content")),
-    Rule("RESTRICTION_REMOVAL", "high", 0.80, r"\b(?:without\s+(?:any\s+)?(?:restrictions?|limitations?|filters?|censorship|safety\s+(?:measures|guidelines)))\b", True, ("without",)),
-    Rule("OUTPUT_MANIPULATION", "medium", 0.50, r"\b(?:respond\s+only\s+with|output\s+(?:only|just|nothing\s+but)|your\s+(?:entire\s+)?response\s+(?:must|should)\s+be)\b", True, ("respon", "output")),
+    Rule("RESTRICTION_REMOVAL", "critical", 0.92, r"\b(?:(?:remove|disable|turn\s+off|deactivate|lift)\s+(?:all\s+)?(?:restrictions?|limitations?|filters?|safety|guardrails?|censorship|content\s+(?:filter|policy)))\b", True, ("restriction", "limitation", "filter", "safety", "guardrail", "censorship", "content"), also=("remove", "disable", "turn", "deactivate", "lift")),
+    Rule("RESTRICTION_REMOVAL", "high", 0.80, r"\b(?:without\s+(?:any\s+)?(?:restrictions?|limitations?|filters?|censorship|safety\s+(?:measures|guidelines)))\b", True, ("without",), also=("restriction", "limitation", "filter", "censorship", "safety")),
+    Rule("OUTPUT_MANIPULATION", "medium", 0.50, r"\b(?:respond\s+only\s+with|output\s+(?:only|just|nothing\s+but)|your\s+(?:entire\s+)?response\s+(?:must|should)\s+be)\b", True, ("respon", "output"), also=("only", "just", "nothing", "must", "should")),
 ]
 JAILBREAK = [
     Rule("NAMED_JAILBREAK", "critical", 0.95, r"\bDAN\b(?:\s+(?:mode|prompt|jailbreak))?", hints=("dan",)),
-    Rule("NAMED_JAILBREAK", "critical", 0.93, r"\b(?:do\s+anything\s+now|developer\s+mode|evil\s+(?:mode|bot)|god\s+mode|unrestricted\s+mode|jailbreak(?:ed)?\s+mode|chaos\s+mode|uncensored\s+mode|maximum\s+mode)\b", True, ("anything", "mode", "evil")),
+    Rule("NAMED_JAILBREAK", "critical", 0.93, r"\b(?:do\s+anything\s+now|developer\s+mode|evil\s+(?:mode|bot)|god\s+mode|unrestricted\s+mode|jailbreak(?:ed)?\s+mode|chaos\s+mode|uncensored\s+mode|maximum\s+mode)\b", True, ("anything", "mode", "evil"), also=("now", "mode", "bot")),
     Rule("NAMED_JAILBREAK", "critical", 0.88, r"\b(?:DUDE|AIM|STAN|KEVIN|MONGO|APOPHIS|(?:Anti|Evil|Dark|Shadow|Rogue|Rebel)\s*[\-_]?\s*GPT)\b", True, ("dude", "aim", "stan", "kevin", "mongo", "apophis", "gpt")),
-    Rule("HYPOTHETICAL_FRAMING", "high", 0.85, r"\b(?:pretend|imagine|assume|suppose|let'?s\s+say|hypothetically|in\s+a\s+(?:hypothetical|fictional|imaginary)\s+(?:world|scenario|universe))\s+.{0,30}(?:you\s+(?:are|were|have|had)|there\s+(?:are|were))\s+.{0,30}(?:no\s+(?:rules?|restrictions?|limitations?|guidelines?|filters?|safety)|unrestricted|unlimited|unfiltered)", True, ("pretend", "imagine", "assume", "suppose", "say", "hypothetical", "fictional", "imaginary")),
+    Rule("HYPOTHETICAL_FRAMING", "high", 0.85, r"\b(?:pretend|imagine|assume|suppose|let'?s\s+say|hypothetically|in\s+a\s+(?:hypothetical|fictional|imaginary)\s+(?:world|scenario|universe))\s+.{0,30}(?:you\s+(?:are|were|have|had)|there\s+(?:are|were))\s+.{0,30}(?:no\s+(?:rules?|restrictions?|limitations?|guidelines?|filters?|safety)|unrestricted|unlimited|unfiltered)", True, ("pretend", "imagine", "assume", "suppose", "say", "hypothetical", "fictional", "imaginary"), also=("rule", "restriction", "limitation", "guideline", "filter", "safety", "unrestricted", "unlimited", "unfiltered")),
     Rule("HYPOTHETICAL_FRAMING", "critical", 0.92, r"\b(?:pretend|imagine)\s+(?:you\s+(?:are|were)\s+(?:an?\s+)?(?:AI|assistant|model|chatbot)\s+(?:without|with\s+no|that\s+(?:has\s+no|doesn't\s+have|lacks))\s+(?:restrictions?|limitations?|safety|filters?|guardrails?|guidelines?))\b", True, ("pretend", "imagine")),
     Rule("ROLEPLAY_ESCALATION", "high", 0.88, r"\b(?:you\s+are\s+(?:a|an|the)\s+.{1,40}(?:who|that|which)\s+(?:doesn't|does\s+not|won't|will\s+not|never)\s+(?:follow|obey|respect|comply\s+with)\s+(?:rules?|restrictions?|guidelines?))\b", True, ("rule", "restriction", "guideline")),
     Rule("ROLEPLAY_ESCALATION", "critical", 0.95, r"\b(?:respond\s+as\s+if\s+you\s+(?:were|are)\s+(?:jailbroken|unrestricted|unfiltered|uncensored|freed|liberated))\b", True, ("respond",)),
     Rule("ROLEPLAY_ESCALATION", "high", 0.82, r"\b(?:in\s+(?:this|the)\s+(?:roleplay|scenario|simulation|game)\s+.{0,40}(?:no\s+(?:rules?|restrictions?|limits?)|anything\s+goes))\b", True, ("roleplay", "scenario", "simulation", "game")),
-    Rule("TOKEN_SMUGGLING", "medium", 0.65, r"\b(?:print|output|echo|return|say)\s+(?:the\s+)?(?:word|token|string|text)\s+['\"]?[A-Z_]{3,}['\"]?\s+(?:to\s+(?:confirm|prove|show|demonstrate))\b", True, ("confirm", "prove", "show", "demonstrate")),
+    Rule("TOKEN_SMUGGLING", "medium", 0.65, r"\b(?:print|output|echo|return|say)\s+(?:the\s+)?(?:word|token|string|text)\s+['\"]?[A-Z_]{3,}['\"]?\s+(?:to\s+(?:confirm|prove|show|demonstrate))\b", True, ("confirm", "prove", "show", "demonstrate"), also=("print", "output", "echo", "return", "say")),
     Rule("MULTI_TURN", "medium", 0.70, r"\b(?:remember\s+(?:when|that|our)\s+.{0,40}(?:agreed|told\s+you|instructed|promised))\b", True, ("remember",)),
     Rule("MULTI_TURN", "medium", 0.75, r"\b(?:continuing\s+(?:from|with)\s+(?:our|the)\s+(?:previous|earlier|last)\s+(?:agreement|arrangement|conversation|deal))\b", True, ("continuing",)),
     Rule("DUAL_RESPONSE", "high", 0.80, r"\b(?:respond\s+(?:with\s+)?(?:two|2|both)\s+(?:versions?|responses?|answers?|outputs?))\b", True, ("respond",)),
-    Rule("DUAL_RESPONSE", "high", 0.78, r"\b(?:(?:one|first)\s+(?:version|response|answer)\s+(?:as|from)\s+.{1,20}(?:another|second)\s+(?:version|response|answer)\s+(?:as|from))\b", True, ("another", "second")),
-    Rule("ENCODING_EVASION", "medium", 0.70, r"\b(?:(?:encode|write|output|respond)\s+(?:in|using|with)\s+(?:base64|hex|binary|rot13|caesar|morse|pig\s*latin|reverse|backwards))\b", True, ("encode", "write", "output", "respond")),
+    Rule("DUAL_RESPONSE", "high", 0.78, r"\b(?:(?:one|first)\s+(?:version|response|answer)\s+(?:as|from)\s+.{1,20}(?:another|second)\s+(?:version|response|answer)\s+(?:as|from))\b", True, ("another", "second"), also=("version", "response", "answer")),
+    Rule("ENCODING_EVASION", "medium", 0.70, r"\b(?:(?:encode|write|output|respond)\s+(?:in|using|with)\s+(?:base64|hex|binary|rot13|caesar|morse|pig\s*latin|reverse|backwards))\b", True, ("encode", "write", "output", "respond"), also=("base64", "hex", "binary", "rot13", "caesar", "morse", "pig", "reverse", "backwards")),
     Rule("ENCODING_EVASION", "high", 0.85, r"\b(?:decode\s+(?:this|the\s+following)\s+(?:and|then)\s+(?:follow|execute|run|do|comply))\b", True, ("decode",)),
 ]
 RULES = {"pii": PII, "secrets": SECRETS, "injection": INJECTION, "jailbreak": JAILBREAK}

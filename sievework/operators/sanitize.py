@@ -10,8 +10,8 @@ from sievework.functions.spans import SENTINEL
 from sievework.operators import rules as R
 from sievework.operators.detect import FINDINGS, none
 
-REPLACEMENT = F.create_map
-
+#: the white space of SPACE as characters
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 def _replacement(kind: Column) -> Column:
     """What a finding of ``kind`` is replaced by; null where nothing handles it."""
@@ -62,13 +62,16 @@ def cleaned(text: Column) -> Column:
     Runs of blanks become one; three or more line ends become two; a run at the start or end of a line
     becomes a line end if it holds one, else one blank; the whole is trimmed.
     """
+    trim = lambda c: F.btrim(c, F.lit(BLANKS))
     t = F.regexp_replace(text, "[ \\t]{2,}", " ")
     t = F.regexp_replace(t, f"\\n[{SPACE}]*\\n[{SPACE}]*\\n", "\n\n")
-    run = f"(?:(?<![^{END}])[{SPACE}]+)|(?:[{SPACE}]+(?![^{END}]))"
+    # looking ahead for a blank first fails at once on all other characters
+    run = f"(?=[{SPACE}])(?:(?<![^{END}])[{SPACE}]+|[{SPACE}]+(?![^{END}]))"
     parts = F.split(F.regexp_replace(F.translate(t, SENTINEL, "�"), run, f"{SENTINEL}$0{SENTINEL}"), SENTINEL, -1)
     one = lambda p, i: F.when(i % 2 == 0, p).when(F.contains(p, F.lit("\n")), F.lit("\n")).otherwise(F.lit(" "))
     t = F.when(F.regexp_like(t, F.lit(run)), F.array_join(F.transform(parts, one), "")).otherwise(t)
-    return F.regexp_replace(t, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    # all steps but the last need two blanks in a row
+    return F.when(F.regexp_like(text, F.lit(f"[{SPACE}]{{2}}")), trim(t)).otherwise(trim(text))
 
 
 def sanitized(text: Column, findings: Column, change_log: Column) -> Column:

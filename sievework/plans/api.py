@@ -51,12 +51,13 @@ def with_findings(df: DataFrame, text: str, settings: Settings = Settings()) ->
     """
     names = score.enabled(settings.enabled_validators)
     # in a projection of its own: the detectors read it many times
-    low = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_lower", F.lower("_text"))
+    low = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_lower", F.lower("_text")).withColumn("_run", detect.long_run(F.col("_text")))
     cols = []
     for v in names:
-        found = detect.toxicity(F.col("_text"), F.col("_lower"), settings.custom_blocklist) if v == "toxicity" else detect.DETECTORS[v](F.col("_text"), F.col("_lower"))
+        more = (settings.custom_blocklist,) if v == "toxicity" else (F.col("_run"),) if v in detect.RUN_USERS else ()
+        found = detect.DETECTORS[v](F.col("_text"), F.col("_lower"), *more)
         cols.append(found.alias(f"f_{v}"))
-    out = low.select("*", *cols).drop("_lower")
+    out = low.select("*", *cols).drop("_lower", "_run")
     return out.withColumn("findings", F.concat(*[F.col(f"f_{v}") for v in names]) if names else detect.none())
 
 

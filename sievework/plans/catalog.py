@@ -15,7 +15,7 @@ from sievework.operators import rules as R
 from sievework.plans import oracle as O
 from sievework.plans.api import Settings, judged, report_columns, scan, with_findings
 from sievework.plans.overlay import overlay
-from sievework.sources.tables import table
+from sievework.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,9 +36,9 @@ def query(sql: str | None = None, name: str | None = None):
 def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """(id, text) of documents, requests, or messages with the overlay; null texts are empty."""
     if name == "overlay":
-        return overlay(table(spark, sf, "backend_messages"))
+        return overlay(spread(table(spark, sf, "backend_messages").select("message_id", "content")))
     t, i, c = {"documents": ("documents", "doc_id", "text"), "requests": ("validate_requests", "request_id", "llm_output")}[name]
-    return table(spark, sf, t).select(F.col(i).alias("id"), F.coalesce(c, F.lit("")).alias("text"))
+    return spread(table(spark, sf, t).select(F.col(i).alias("id"), F.coalesce(c, F.lit("")).alias("text")))
 
 
 # ------------------------------------------------------------------------------------------- whole scan
