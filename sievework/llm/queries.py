@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import abuse, credentials, lookalike, mixing, packing, percentiles, personal, quality, tokens
-from sievework.sources.tables import table
+from sievework.sources.tables import spread, table
 
 INF = float("inf")
 
 
+def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts, over all cores even where the table is one file."""
+    return spread(table(spark, sf, name).select(*columns))
+
+
 # ------------------------------------------------------------------------------------------ 1 percentiles
 def _decision():
     """Spellings of a decision brought together."""
@@ -58,15 +63,15 @@ def p1_within_bound(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------ 2 credentials
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines on which a credential begins, in requests and in findings."""
-    r = credentials.credential_lines(table(spark, sf, "validate_requests"), "request_id", "llm_output")
-    f = credentials.credential_lines(table(spark, sf, "findings"), "finding_id", "match_text", alone=True).withColumn("line_no", F.lit(1)).distinct()
+    r = credentials.credential_lines(texts(spark, sf, "validate_requests", "request_id", "llm_output"), "request_id", "llm_output")
+    f = credentials.credential_lines(texts(spark, sf, "findings", "finding_id", "match_text"), "finding_id", "match_text", alone=True).withColumn("line_no", F.lit(1)).distinct()
     one = lambda d, t: d.select(F.lit(t).alias("src_table"), "rec_id", "line_no")
     return one(r, "validate_requests").unionByName(one(f, "findings"))
 
 
 def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every request with its credentials replaced by placeholders."""
-    r = table(spark, sf, "validate_requests")
+    r = texts(spark, sf, "validate_requests", "request_id", "llm_output")
     return r.select("request_id", credentials.redacted()(F.col("llm_output")).alias("redacted"))
 
 
@@ -74,7 +79,7 @@ def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Texts whose author abuses, threatens, dehumanises or sexualises."""
     def over(name: str, key: str, column: str) -> DataFrame:
-        t = table(spark, sf, name).where(F.col(column).isNotNull())
+        t = texts(spark, sf, name, key, column).where(F.col(column).isNotNull())
         return t.select(F.lit(name).alias("src_table"), F.col(key).alias("rec_id"), abuse.abuse_score()(F.col(column)).alias("p")).where(F.col("p") >= abuse.THRESHOLD).drop("p")
 
     return over("validate_requests", "request_id", "llm_output").unionByName(over("validation_outcomes", "outcome_id", "raw_llm_output"))
@@ -82,47 +87,47 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The score of every request and every outcome."""
-    a = abuse.scored(table(spark, sf, "validate_requests"), "llm_output").select(F.lit("validate_requests").alias("src_table"), F.col("request_id").alias("rec_id"), "channel", "abuse_score")
-    b = abuse.scored(table(spark, sf, "validation_outcomes"), "raw_llm_output").select(F.lit("validation_outcomes").alias("src_table"), F.col("outcome_id").alias("rec_id"), "channel", "abuse_score")
+    a = abuse.scored(texts(spark, sf, "validate_requests", "request_id", "channel", "llm_output"), "llm_output").select(F.lit("validate_requests").alias("src_table"), F.col("request_id").alias("rec_id"), "channel", "abuse_score")
+    b = abuse.scored(texts(spark, sf, "validation_outcomes", "outcome_id", "channel", "raw_llm_output"), "raw_llm_output").select(F.lit("validation_outcomes").alias("src_table"), F.col("outcome_id").alias("rec_id"), "channel", "abuse_score")
     return a.unionByName(b)
 
 
 def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Rates of abusive requests per channel."""
-    return abuse.rates(table(spark, sf, "validate_requests"), "llm_output", "channel")
+    return abuse.rates(texts(spark, sf, "validate_requests", "channel", "llm_output"), "llm_output", "channel")
 
 
 # ------------------------------------------------------------------------------------------- 4 look-alikes
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of texts of one table that look the same but aren't the same string."""
     def over(name: str, key: str, column: str) -> DataFrame:
-        return lookalike.pairs(table(spark, sf, name), key, column).select(F.lit(name).alias("src_table"), "id_a", "id_b")
+        return lookalike.pairs(texts(spark, sf, name, key, column), key, column).select(F.lit(name).alias("src_table"), "id_a", "id_b")
 
     return over("validate_requests", "request_id", "llm_output").unionByName(over("backend_messages", "message_id", "content"))
 
 
 def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     """One row per message: the class of texts that look like it."""
-    return lookalike.classes(table(spark, sf, "backend_messages"), "message_id", "content")
+    return lookalike.classes(texts(spark, sf, "backend_messages", "message_id", "content"), "message_id", "content")
 
 
 def p4_normal(spark: SparkSession, sf: str) -> DataFrame:
     """Every request in the form for comparison."""
-    return lookalike.normalised(table(spark, sf, "validate_requests"), "llm_output").select("request_id", "normal_text")
+    return lookalike.normalised(texts(spark, sf, "validate_requests", "request_id", "llm_output"), "llm_output").select("request_id", "normal_text")
 
 
 # ---------------------------------------------------------------------------------------- 5 personal data
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines on which a piece of personal data begins, once per type."""
-    r = personal.personal_lines(table(spark, sf, "validate_requests"), "request_id", "llm_output")
-    c = personal.personal_lines(table(spark, sf, "sanitize_changes"), "change_id", "original_text", alone=True).where("line_no = 1")
+    r = personal.personal_lines(texts(spark, sf, "validate_requests", "request_id", "llm_output"), "request_id", "llm_output")
+    c = personal.personal_lines(texts(spark, sf, "sanitize_changes", "change_id", "original_text"), "change_id", "original_text", alone=True).where("line_no = 1")
     one = lambda d, t: d.select(F.lit(t).alias("src_table"), "rec_id", "line_no", "pii_type")
     return one(r, "validate_requests").unionByName(one(c, "sanitize_changes"))
 
 
 def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every request with typed placeholders for its personal data."""
-    r = table(spark, sf, "validate_requests")
+    r = texts(spark, sf, "validate_requests", "request_id", "llm_output")
     return r.select("request_id", personal.redacted()(F.col("llm_output")).alias("redacted"))
 
 
@@ -133,7 +138,7 @@ def _capacities(spark: SparkSession, sf: str) -> list[int]:
 
 def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, or piece of one larger than the capacity, with its container, for each capacity."""
-    return packing.packed(tokens.sized(table(spark, sf, "documents"), "doc_id", "text"), _capacities(spark, sf))
+    return packing.packed(tokens.sized(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text"), _capacities(spark, sf))
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +149,7 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
 # ----------------------------------------------------------------------------------------------- 7 mixing
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of each mix with their number of copies."""
-    return mixing.mixed(tokens.sized(table(spark, sf, "documents"), "doc_id", "text", "source"), table(spark, sf, "mix_targets"))
+    return mixing.mixed(tokens.sized(texts(spark, sf, "documents", "doc_id", "text", "source"), "doc_id", "text", "source"), table(spark, sf, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,12 +160,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- 8 quality
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that are a list, a table, junk or empty."""
-    return quality.classified(table(spark, sf, "documents")).where("label <> 'prose'").select("doc_id")
+    return quality.classified(texts(spark, sf, "documents", "doc_id", "text")).where("label <> 'prose'").select("doc_id")
 
 
 def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics and label of every document."""
-    return quality.classified(table(spark, sf, "documents"))
+    return quality.classified(texts(spark, sf, "documents", "doc_id", "text"))
 
 
 def queries() -> dict:
