@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import backend, decide, detect, sanitize, score
@@ -44,20 +45,32 @@ class Settings:
         )
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def _built(df: DataFrame, key: tuple, make) -> Column:
+    """A large expression over fixed column names, made once per application; making it takes many calls to the JVM."""
+    key = (df.sparkSession.sparkContext.applicationId, *key)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
+def _detector(v: str, custom: tuple[str, ...]) -> Column:
+    more = (custom,) if v == "toxicity" else (F.col("_run"),) if v in detect.RUN_USERS else ()
+    return detect.DETECTORS[v](F.col("_text"), F.col("_lower"), *more)
+
+
 def with_findings(df: DataFrame, text: str, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """``df`` with ``f_<validator>`` arrays of the enabled validators, and ``findings``, all of them in order.
 
     Disabled validators aren't planned at all.
     """
     names = score.enabled(settings.enabled_validators)
-    # in a projection of its own: the detectors read it many times
-    low = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_lower", F.lower("_text")).withColumn("_run", detect.long_run(F.col("_text")))
-    cols = []
-    for v in names:
-        more = (settings.custom_blocklist,) if v == "toxicity" else (F.col("_run"),) if v in detect.RUN_USERS else ()
-        found = detect.DETECTORS[v](F.col("_text"), F.col("_lower"), *more)
-        cols.append(found.alias(f"f_{v}"))
-    out = low.select("*", *cols).drop("_lower", "_run")
+    # in projections of their own: the detectors read them many times
+    low = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumns({"_lower": F.lower("_text"), "_run": detect.long_run(F.col("_text"))})
+    custom = tuple(settings.custom_blocklist)
+    out = low.withColumns({f"f_{v}": _built(df, ("detect", v, custom), partial(_detector, v, custom)) for v in names}).drop("_lower", "_run") if names else low.drop("_lower", "_run")
     return out.withColumn("findings", F.concat(*[F.col(f"f_{v}") for v in names]) if names else detect.none())
 
 
@@ -68,21 +81,27 @@ def judged(found: DataFrame, settings: Settings = Settings(), failed: str | None
     whole text and a validator of its own.
     """
     names = score.enabled(settings.enabled_validators)
-    out = found
+    steps: dict[str, Column] = {f"s_{v}": _built(found, ("score", v), partial(_score, v)) for v in names}
     scores = {v: F.col(f"s_{v}") for v in names}
-    for v in names:
-        out = out.withColumn(f"s_{v}", score.SCORES[v](F.col(f"f_{v}")))
     present = None
     if failed is not None:
         flag = F.coalesce(F.col(failed), F.lit(False))
-        out = out.withColumn("findings", F.when(flag, F.array_append("findings", backend.flag(F.col("_text")))).otherwise(F.col("findings")))
+        steps["findings"] = F.when(flag, F.array_append("findings", backend.flag(F.col("_text")))).otherwise(F.col("findings"))
         scores["backend"], present = F.lit(backend.FLAG_SCORE), {"backend": flag}
-    out = out.withColumn("risk", score.risk(scores, F.col("findings"), settings.weights, present))
-    out = out.withColumn("kept", sanitize.deduplicated(F.col("findings"))).withColumn("changes", sanitize.changes(F.col("_text"), F.col("kept")))
-    out = out.withColumn("sanitized", sanitize.sanitized(F.col("_text"), F.col("findings"), F.col("changes")))
-    out = out.withColumn("can_sanitize", sanitize.can_sanitize(F.col("findings"), F.col("kept"), F.col("sanitized")))
-    out = out.withColumn("action", decide.action(F.col("findings"), F.col("risk.final_score"), settings.sanitize_threshold))
-    return out.withColumn("reason", decide.reason(F.col("action"), F.col("changes"), F.col("risk.critical")))
+    out = found.withColumns(steps) if steps else found
+    text, findings = F.col("_text"), F.col("findings")
+    out = out.withColumns({"risk": score.risk(scores, findings, settings.weights, present), "kept": _built(found, ("kept",), lambda: sanitize.deduplicated(findings))})
+    out = out.withColumns(
+        {"changes": _built(found, ("changes",), lambda: sanitize.changes(text, F.col("kept"))), "action": decide.action(findings, F.col("risk.final_score"), settings.sanitize_threshold)}
+    )
+    out = out.withColumns(
+        {"sanitized": _built(found, ("sanitized",), lambda: sanitize.sanitized(text, findings, F.col("changes"))), "reason": _built(found, ("reason",), lambda: decide.reason(F.col("action"), F.col("changes"), F.col("risk.critical")))}
+    )
+    return out.withColumn("can_sanitize", _built(found, ("can",), lambda: sanitize.can_sanitize(findings, F.col("kept"), F.col("sanitized"))))
+
+
+def _score(v: str) -> Column:
+    return score.SCORES[v](F.col(f"f_{v}"))
 
 
 def scan(df: DataFrame, text: str = "text", settings: Settings = Settings(), failed: str | None = None) -> DataFrame:  # noqa: B008

@@ -61,6 +61,15 @@ for _name in ("documents", "requests", "overlay"):
 
 
 # ------------------------------------------------------------------------------------------- detectors
+def unfolded(found: DataFrame, array: Column | str = "findings") -> DataFrame:
+    """(id, the fields of a finding): a row per finding.
+
+    Not by ``inline``: for that the optimiser tests first whether the array is empty, and runs all detectors
+    a second time to know.
+    """
+    return found.select("id", F.inline_outer(array)).where(F.col("type").isNotNull())
+
+
 def _hits_query(name: str, validator: str, kinds: tuple[str, ...] | None = None, called: str | None = None) -> None:
     where = f"WHERE type IN ({', '.join(O.quoted(k) for k in kinds)})" if kinds else ""
     called = called or f"{validator}_hits_{name}"
@@ -69,7 +78,7 @@ def _hits_query(name: str, validator: str, kinds: tuple[str, ...] | None = None,
     def run(spark: SparkSession, sf: str) -> DataFrame:
         """One row per finding of one detector."""
         found = with_findings(source(spark, sf, name), "text", Settings(enabled_validators=(validator,)))
-        rows = found.select("id", F.inline("findings")).drop("validator")
+        rows = unfolded(found).drop("validator")
         return rows.where(F.col("type").isin(*kinds)) if kinds else rows
 
     run.__name__ = called
@@ -99,7 +108,7 @@ CUSTOM = (" Kiln ", "timetable", "", "c++")
 def custom_blocklist(spark: SparkSession, sf: str) -> DataFrame:
     """Hits of a user's own terms in documents."""
     found = with_findings(source(spark, sf, "documents"), "text", Settings(enabled_validators=("toxicity",), custom_blocklist=CUSTOM))
-    return found.select("id", F.inline("findings")).where("type = 'CUSTOM_BLOCKED'").select("id", "type", "match", "position", "length", "confidence")
+    return unfolded(found).where("type = 'CUSTOM_BLOCKED'").select("id", "type", "match", "position", "length", "confidence")
 
 
 @query("SELECT finding_id, CASE WHEN match_text IS NULL THEN NULL WHEN length(match_text) <= 3 THEN '***' ELSE left(match_text, 2) || repeat('*', greatest(length(match_text) - 4, 1)::INT) || right(match_text, 2) END AS shown FROM findings")
@@ -126,7 +135,8 @@ def enabled_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query(O.chain("overlay", "SELECT id, (ord - 1)::INT AS ord, validator, type, position FROM f", O.findings()))
 def flatten_findings(spark: SparkSession, sf: str) -> DataFrame:
     """All findings of a text in one list, in the order of validators and rules."""
-    return with_findings(source(spark, sf, "overlay"), "text").select("id", F.posexplode("findings").alias("ord", "f")).select("id", "ord", "f.validator", "f.type", "f.position")
+    f = with_findings(source(spark, sf, "overlay"), "text").select("id", F.posexplode_outer("findings").alias("ord", "f")).where("ord is not null")
+    return f.select("id", "ord", "f.validator", "f.type", "f.position")
 
 
 @query(O.chain("overlay", "SELECT src.id, coalesce(['low', 'medium', 'high', 'critical'][max(list_position(['low', 'medium', 'high', 'critical'], severity))], 'low') AS severity, count(f.id) > 0 AS detected FROM src LEFT JOIN f USING (id) GROUP BY src.id", O.findings()))
@@ -154,7 +164,7 @@ def texts_with_critical(spark: SparkSession, sf: str) -> DataFrame:
 def dedupe_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Findings left after overlaps are resolved."""
     f = with_findings(source(spark, sf, "overlay"), "text")
-    return f.select("id", F.inline(sanitize.deduplicated(F.col("findings")))).select("id", "type", "position", "length", "confidence")
+    return unfolded(f, sanitize.deduplicated(F.col("findings"))).select("id", "type", "position", "length", "confidence")
 
 
 @query(O.chain("documents", "SELECT id, sanitized FROM q", O.findings(("pii",)), O.kept(), O.changed()))
@@ -179,7 +189,7 @@ def whitespace_cleanup(spark: SparkSession, sf: str) -> DataFrame:
 def change_log(spark: SparkSession, sf: str) -> DataFrame:
     """One row per change."""
     s = scan(source(spark, sf, "overlay"))
-    return s.select("id", F.explode("changes").alias("c")).select("id", "c.finding.type", "c.replacement", "c.position", "c.original_text")
+    return s.select("id", F.explode_outer("changes").alias("c")).where("c is not null").select("id", "c.finding.type", "c.replacement", "c.position", "c.original_text")
 
 
 # ---------------------------------------------------------------------------------------- risk and decision
@@ -197,7 +207,7 @@ def decision_reason(spark: SparkSession, sf: str) -> DataFrame:
 @query(O.chain("overlay", f"SELECT id, validator, round(s, 6) AS score FROM (UNPIVOT (SELECT id, {', '.join(R.VALIDATORS)} FROM r) ON {', '.join(R.VALIDATORS)} INTO NAME validator VALUE s)", O.findings(), O.scores()))
 def score_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     """Scores by validator in rows, from the map of the risk."""
-    return scan(source(spark, sf, "overlay")).select("id", F.explode("risk.breakdown").alias("validator", "s")).select("id", "validator", F.round("s", 6).alias("score"))
+    return scan(source(spark, sf, "overlay")).select("id", F.explode_outer("risk.breakdown").alias("validator", "s")).select("id", "validator", F.round("s", 6).alias("score"))
 
 
 @query(O.chain("requests", "SELECT dominant, action, count(*) AS texts, round(avg(final_score), 6) AS mean_risk, count(*) FILTER (critical) AS critical FROM r GROUP BY ALL", O.findings(), O.scores()))
@@ -457,7 +467,7 @@ def risk_bar(spark: SparkSession, sf: str) -> DataFrame:
 @query(O.chain("overlay", "SELECT id, validator AS category, min(ord) AS first, count(*) AS n, max(confidence) AS best FROM f GROUP BY id, validator", O.findings()))
 def category_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of each text by category, with the place of the first."""
-    f = with_findings(source(spark, sf, "overlay"), "text").select("id", F.posexplode("findings").alias("ord", "f"))
+    f = with_findings(source(spark, sf, "overlay"), "text").select("id", F.posexplode_outer("findings").alias("ord", "f")).where("ord is not null")
     return f.groupBy("id", present.category(F.col("f.validator")).alias("category")).agg((F.min("ord") + 1).cast("long").alias("first"), F.count("*").alias("n"), F.max("f.confidence").alias("best"))
 
 
@@ -504,7 +514,7 @@ def scan_report(spark: SparkSession, sf: str) -> DataFrame:
 def detector_vs_recorded(spark: SparkSession, sf: str) -> DataFrame:
     """Types our detectors find in requests against the types recorded for them."""
     f = with_findings(source(spark, sf, "requests"), "text", Settings(enabled_validators=("pii", "secrets")))
-    d = f.select("id", F.explode(F.array_distinct(F.transform("findings", lambda x: x["type"]))).alias("type")).withColumn("ours", F.lit(True))
+    d = f.select("id", F.explode_outer(F.array_distinct(F.transform("findings", lambda x: x["type"]))).alias("type")).where("type is not null").withColumn("ours", F.lit(True))
     w = table(spark, sf, "findings").where(F.col("finding_type").isNotNull()).select(F.col("request_id").alias("id"), F.col("finding_type").alias("type")).distinct().withColumn("theirs", F.lit(True))
     j = d.join(w, ["id", "type"], "full")
     a, b = F.col("ours").isNotNull(), F.col("theirs").isNotNull()
