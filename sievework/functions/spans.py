@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SENTINEL = ""
+SENTINEL = "\ue000"
 RAW = "array<struct<position:int,length:int,text:string>>"
 
 
