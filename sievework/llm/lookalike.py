@@ -36,7 +36,7 @@ _TABLE = {ord(a): b for k, v in _ALIKE.items() for a, b in zip(k, v, strict=True
 _TABLE |= {0x2010: "-", 0x2011: "-", 0x2043: "-", 0x02D7: "-", 0x2212: "-", 0x2024: ".", 0x02BC: "'", 0x037E: ";", 0x0387: "·", 0xA789: ":", 0x2236: ":", 0x01C3: "!", 0x2215: "/", 0x2044: "/"}
 
 # Default_Ignorable_Code_Point of the Unicode character database.
-IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
+IGNORABLE = re.compile("[\u00ad\u034f؜\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0￰-￸\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
 BLANK = re.compile(r"[^\S\n]")
 PLAIN = re.compile(r"[\n -~]*")
 #: Compatibility decompositions that don't change what is seen.

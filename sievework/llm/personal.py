@@ -80,11 +80,11 @@ TITLE = r"(?:Mr|Mrs|Ms|Miss|Mme|Mlle|Herr|Frau|Sr|Sra|Srta|Dr|Prof|Don|Doña)\b\
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zà-öø-ÿ"
 _SUR = rf"[{_UP}][{_LOW}]+(?:[-’'][{_UP}]?[{_LOW}]+)*"
 NAME = re.compile(
-    rf"(?<![\w@./-])(?:(?P<title>{TITLE})[  ]+(?:(?:[{_UP}]\.|{_SUR})[  ]+){{0,2}}(?P<tl>{_SUR})"
-    rf"|(?P<rev>{_SUR}),[  ](?P<revgiven>[{_UP}][{_LOW}]+)(?:[  ][{_UP}]\.)?"
-    rf"|(?P<given>[{_UP}][{_LOW}]+)(?:[  ][{_UP}]\.)?[  ](?P<sur>{_SUR})"
-    rf"|(?P<ini>[{_UP}])\.[  ](?P<inisur>{_SUR})"
-    rf"|(?P<caps>[{_UP}]{{2,}})(?:[  ][{_UP}]\.)?[  ](?P<capsur>[{_UP}]{{3,}}(?:-[{_UP}]+)?))(?![\w@]|\.\w|-\w)"
+    rf"(?<![\w@./-])(?:(?P<title>{TITLE})[ \u00a0]+(?:(?:[{_UP}]\.|{_SUR})[ \u00a0]+){{0,2}}(?P<tl>{_SUR})"
+    rf"|(?P<rev>{_SUR}),[ \u00a0](?P<revgiven>[{_UP}][{_LOW}]+)(?:[ \u00a0][{_UP}]\.)?"
+    rf"|(?P<given>[{_UP}][{_LOW}]+)(?:[ \u00a0][{_UP}]\.)?[ \u00a0](?P<sur>{_SUR})"
+    rf"|(?P<ini>[{_UP}])\.[ \u00a0](?P<inisur>{_SUR})"
+    rf"|(?P<caps>[{_UP}]{{2,}})(?:[ \u00a0][{_UP}]\.)?[ \u00a0](?P<capsur>[{_UP}]{{3,}}(?:-[{_UP}]+)?))(?![\w@]|\.\w|-\w)"
 )
 NAME_BEFORE = re.compile(
     r"(?i)(?:customer|client|kunde|cliente|patient|tenant|author|written by|signed(?: by)?|contact|name['\"]?\s*[:=]\s*['\"]?|my name is|i am|ich heiße|mein name ist|me llamo|mi nombre es|je m'appelle|je suis"
@@ -97,7 +97,7 @@ ORGANISATION = re.compile(
 STOP_NAME = set("the a an our your my this that these those many in at as on for with from when why what who how there was were it is es il elle on un une le la les der die das ein eine wir ihr sie im am zum se en el los las por para cuando al una unos dear kind best regards hello hi yes no please note thanks customer tenant monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december new old great east west north south low high lake project street lane user password server database encrypt".split())
 
 EMAIL = re.compile(
-    r"(?<![\w.+@/:-])(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]*)[​‌⁠]?(?P<at>\s?@\s?|\s?[\[({]\s?(?:at|@)\s?[\])}]\s?|\s(?:AT|at)\s)[​‌⁠]?"
+    r"(?<![\w.+@/:-])(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]*)[\u200b\u200c\u2060]?(?P<at>\s?@\s?|\s?[\[({]\s?(?:at|@)\s?[\])}]\s?|\s(?:AT|at)\s)[\u200b\u200c\u2060]?"
     r"(?P<dom>[A-Za-z0-9-]+(?:(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s(?:DOT|dot)\s)[A-Za-z0-9-]+)*)(?P<colon>[:/](?=\w))?"
 )
 # Forms of telephone numbers.

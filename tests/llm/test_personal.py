@@ -9,7 +9,7 @@ F = P.Finder()
     "text,want",
     [
         ("Mail: anna.k@example.org", ["EMAIL"]), ("write to anna (at) post (dot) example", ["EMAIL"]), ("My name is Anna Korquist and you can reach me at a_k@post.example.", ["NAME", "EMAIL"]), ("call me back on (020) 7946-0329 after six", ["PHONE"]), ("Tel. +33 1 99 00 30 46", ["PHONE"]),
-        ("ring 552 555 0108", ["PHONE"]), ("SSN: 559393478", ["ID_NUMBER"]), ("131-10-4517", ["ID_NUMBER"]), ("passport KYK9Z09JK", ["ID_NUMBER"]), ("DNI 53501499A", ["ID_NUMBER"]), ("n° 1 85 10 81 273 488 06", ["ID_NUMBER"]), ("Ship it to 216 Bellfounder Ave, Apt 5", ["ADDRESS"]),
+        ("ring 552\u00a0555\u00a00108", ["PHONE"]), ("SSN: 559393478", ["ID_NUMBER"]), ("131-10-4517", ["ID_NUMBER"]), ("passport KYK9Z09JK", ["ID_NUMBER"]), ("DNI 53501499A", ["ID_NUMBER"]), ("n° 1 85 10 81 273 488 06", ["ID_NUMBER"]), ("Ship it to 216 Bellfounder Ave, Apt 5", ["ADDRESS"]),
         ("Birkenweg 72, 94755 Falkental", ["ADDRESS"]), ("Vivo en Calle del Olivo 108, bajo, 41528 Villarroble.", ["ADDRESS"]), ("157 bis, rue des Tilleuls, 30726 Saint-Aubrac", ["ADDRESS"]), ("P.O. Box 2459, Tidewick", ["ADDRESS"]), ("Kind regards,\nKatrin Primgaard", ["NAME"]), ("Customer: Korlorn, Thea", ["NAME"]),
         ("Yesterday Dr. Gorekova repaired it", ["NAME"]), ("As Dario Lamdray told me", ["NAME"]),
     ],
