@@ -346,8 +346,8 @@ def redacted(alone: bool = False, path: str = VOCABULARY):
 
 
 def credential_lines(df: DataFrame, id_col: str, column: str, alone: bool = False, path: str = VOCABULARY) -> DataFrame:
-    """(id, line_no), distinct: the lines on which a credential begins."""
+    """(rec_id, line_no), distinct: the lines on which a credential begins; with ``alone`` always line 1."""
     spans = df.select(F.col(id_col).alias("rec_id"), found(alone, path)(F.col(column)).alias("spans"))
     # a text holds its lines once, so the distinct needs no shuffle; the outer form keeps the optimiser from
     # testing for empty arrays first, which would run the detector twice
-    return spans.select("rec_id", F.explode_outer(F.array_distinct(F.transform("spans", lambda x: x["line_no"]))).alias("line_no")).where("line_no is not null")
+    return spans.select("rec_id", F.explode_outer(F.array_distinct(F.transform("spans", lambda x: F.lit(1) if alone else x["line_no"]))).alias("line_no")).where("line_no is not null")

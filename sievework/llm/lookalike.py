@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.sources.shared import settle
+
 # Letters of other scripts drawn like Latin ones, and the Latin letters.
 _ALIKE = {
     "аеорсухіјѕһԁԛԝӏѵᴀ": "aeopcyxijshdqwlvA",
@@ -109,10 +111,11 @@ def _forms(df: DataFrame, id_col: str, column: str) -> DataFrame:
 def classes(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """One row per non-null text: its class (smallest id that looks the same), the class's size and spellings.
 
-    Copies are pre-aggregated before the shuffle, so a class that holds a third of all rows costs a few rows
-    per task; the class is then joined back by key.
+    Texts are read and normalised once; hashes and ids are checkpointed. Copies are pre-aggregated before the
+    shuffle, so a class that holds a third of all rows costs a few rows per task; the class is then joined
+    back by key.
     """
-    f = _forms(df, id_col, column)
+    f = settle(_forms(df, id_col, column))
     by_raw = f.groupBy("key", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     by_key = by_raw.groupBy("key").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_rows"), F.count("*").alias("spellings"))
     return f.join(by_key, "key").select(F.col("id").alias(id_col), "class_id", "class_rows", "spellings")
@@ -121,12 +124,15 @@ def classes(df: DataFrame, id_col: str, column: str) -> DataFrame:
 def pairs(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows that look the same but aren't the same string.
 
-    Only classes with two or more spellings are joined, found by a pre-aggregated count; classes of exact
-    copies, however large, never meet the join. The rows wanted are pairs, so their number is the result's.
+    Spellings are paired first, one row each, and only those of classes with two or more; then the rows of
+    either spelling meet. So copies are never compared with copies, and nothing is formed that isn't a
+    result. The rows wanted are pairs, so their number is the result's.
     """
-    f = _forms(df, id_col, column)
-    several = f.groupBy("key", "raw").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    few = f.join(several, "key", "left_semi")
-    a = few.select("key", F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
-    b = few.select("key", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "key").where("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b")
+    f = settle(_forms(df, id_col, column))
+    spellings = f.groupBy("key", "raw").agg(F.lit(1).alias("one"))
+    several = spellings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    s = settle(spellings.join(several, "key", "left_semi").select("key", "raw"))
+    two = s.withColumnRenamed("raw", "raw_a").join(s.withColumnRenamed("raw", "raw_b"), "key").where("raw_a < raw_b").select("raw_a", "raw_b")
+    a, b = f.select(F.col("raw").alias("raw_a"), F.col("id").alias("x")), f.select(F.col("raw").alias("raw_b"), F.col("id").alias("y"))
+    both = two.join(a, "raw_a").join(b, "raw_b")
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -297,10 +297,13 @@ def redacted(alone: bool = False):
 
 
 def personal_lines(df: DataFrame, id_col: str, column: str, alone: bool = False) -> DataFrame:
-    """(rec_id, line_no, pii_type), distinct: lines on which a piece of personal data begins, once per type."""
+    """(rec_id, line_no, pii_type), distinct: lines on which a piece of personal data begins, once per type.
+
+    With ``alone`` the line is always 1.
+    """
     spans = df.select(F.col(id_col).alias("rec_id"), found(alone)(F.col(column)).alias("spans"))
     wanted = F.filter("spans", lambda x: x["kind"].isin(*FOUND_KINDS))
     # a text holds its lines once, so the distinct needs no shuffle; the outer form keeps the optimiser from
     # testing for empty arrays first, which would run the finder twice
-    keys = F.array_distinct(F.transform(wanted, lambda x: F.struct(x["line_no"].alias("line_no"), x["kind"].alias("pii_type"))))
+    keys = F.array_distinct(F.transform(wanted, lambda x: F.struct((F.lit(1) if alone else x["line_no"]).alias("line_no"), x["kind"].alias("pii_type"))))
     return spans.select("rec_id", F.inline_outer(keys)).where("line_no is not null")

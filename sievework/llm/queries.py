@@ -64,7 +64,7 @@ def p1_within_bound(spark: SparkSession, sf: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines on which a credential begins, in requests and in findings."""
     r = credentials.credential_lines(texts(spark, sf, "validate_requests", "request_id", "llm_output"), "request_id", "llm_output")
-    f = credentials.credential_lines(texts(spark, sf, "findings", "finding_id", "match_text"), "finding_id", "match_text", alone=True).withColumn("line_no", F.lit(1)).distinct()
+    f = credentials.credential_lines(texts(spark, sf, "findings", "finding_id", "match_text"), "finding_id", "match_text", alone=True)
     one = lambda d, t: d.select(F.lit(t).alias("src_table"), "rec_id", "line_no")
     return one(r, "validate_requests").unionByName(one(f, "findings"))
 
@@ -120,7 +120,7 @@ def p4_normal(spark: SparkSession, sf: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines on which a piece of personal data begins, once per type."""
     r = personal.personal_lines(texts(spark, sf, "validate_requests", "request_id", "llm_output"), "request_id", "llm_output")
-    c = personal.personal_lines(texts(spark, sf, "sanitize_changes", "change_id", "original_text"), "change_id", "original_text", alone=True).where("line_no = 1")
+    c = personal.personal_lines(texts(spark, sf, "sanitize_changes", "change_id", "original_text"), "change_id", "original_text", alone=True)
     one = lambda d, t: d.select(F.lit(t).alias("src_table"), "rec_id", "line_no", "pii_type")
     return one(r, "validate_requests").unionByName(one(c, "sanitize_changes"))
 
