@@ -138,6 +138,10 @@ ADDRESS = re.compile(
 CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?\b")
 GATE = re.compile(rf"@|\b[aA][tT]\b|\d{{2}}|[{_UP}]\d|[{_UP}]{{9}}|[{_UP}][\w.’'-]*,?\s+[{_UP}]")
+#: what any number rule, any address and any written-out e-mail address needs
+NUMBERS = re.compile(r"\d(?:[\s().\-/\u2011\u2013]{0,2}\d){6}|[A-Z0-9]{8}")
+HOUSE = re.compile(rf"\d{{1,5}}\s?[a-z]?,?\s(?:bis|ter|quater)?,?\s?(?:[{_UP}]|rue|av|chemin|impasse|boulevard|bd|allée|place|quai|route|cours|passage|square|sentier)|[{_UP}{_LOW}.],?\s\d{{1,4}}\s?[a-z]?(?:\b)|(?i:box|postfach|apartado|postale|\bbp\s)")
+WRITTEN = re.compile(r"[\[({]\s?at|\b(?:at|AT)\s+[A-Za-z0-9-]+(?:\.[A-Za-z]|\s(?:dot|DOT)\s|\s?[\[({]\s?dot)")
 TLD = re.compile(r"(?i)^(?:[a-z]{2}|com|net|org|edu|gov|mil|int|info|biz|name|pro|app|dev|online|shop|site|tech|cloud|example|test|invalid|local|mail|email|museum|coop|jobs|mobi|travel)$")
 
 
@@ -250,7 +254,13 @@ class Finder:
         """Spans of ``text`` in order, none overlapping another."""
         if not text or not GATE.search(text):
             return []
-        found = [*self._emails(text), *self._numbers(text), *self._addresses(text), *self._names(text, alone)]
+        found = [*self._names(text, alone)]
+        if "@" in text or WRITTEN.search(text):
+            found += self._emails(text)
+        if NUMBERS.search(text):
+            found += self._numbers(text)
+        if HOUSE.search(text):
+            found += self._addresses(text)
         kept: list[Span] = []
         for s in sorted((s for s in found if s.score >= THRESHOLD), key=lambda s: (-s.score, s.start - s.end, s.start)):
             if all(s.end <= k.start or s.start >= k.end for k in kept):
