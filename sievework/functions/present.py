@@ -125,3 +125,41 @@ def scan_report(risk: Column, action: Column, findings: Column, changes: Column,
     line = lambda c: F.concat(F.lit("- 🔴 ~~`"), masked(c["original_text"], c["finding"]["type"]), F.lit("`~~ → 🟢 `"), c["replacement"], F.lit("`  *("), short_label(c["finding"]["type"]), F.lit(")*\n"))
     done = F.when(F.size(changes) > 0, F.concat(F.lit("### Redactions Applied\n\n"), F.array_join(F.transform(changes, line), ""), F.lit("\n"))).otherwise(F.lit(""))
     return F.concat(F.lit("## 🔍 Scan Report\n\n"), risk_bar(risk), F.lit("\n\n**Decision:** Would **"), action, F.lit("**\n\n"), found, done, F.lit("*Scan completed in "), latency_ms.cast("string"), F.lit("ms*\n"))
+
+
+def sanitize_header(risk: Column, changes: Column) -> Column:
+    """What a person sees above the answer to a changed text: the risk and every change."""
+    one = lambda c: F.concat(severity_icon(c["finding"]["severity"]), F.lit(" **"), short_label(c["finding"]["type"]), F.lit("** detected\n\n> 🔴 ~~`"), masked(c["original_text"], c["finding"]["type"]), F.lit("`~~ → 🟢 `"), c["replacement"], F.lit("`\n\n"))
+    found = F.when(F.size(changes) > 0, F.concat(F.lit("### 🔍 Detected & Redacted\n\n"), F.array_join(F.transform(changes, one), ""))).otherwise(F.lit(""))
+    return F.concat(F.lit("## ⚠️ Prompt Modified for Safety\n\n"), risk_bar(risk), F.lit("\n\n"), found, F.lit("---\n\n"))
+
+
+def footer(action: Column) -> Column:
+    return F.when(action == "ALLOW", F.lit("\n\n---\n*✅ Verified*\n")).otherwise(F.lit("\n\n---\n*⚠️ Prompt was sanitized before sending to AI*\n"))
+
+
+def grounding_badge(g: Column) -> Column:
+    """One line on how well a response is grounded. ``g``: the struct of ``output.grounding``."""
+    n, u = g["counts"]["hallucinated"], g["counts"]["uncertain"]
+    head = F.concat(F.lit("\n"), chosen(g["overall_level"], LEVEL_ICON, "⚪"), F.lit(" **Grounding: "), percent(g["overall_score"]), F.lit("** — "))
+    parts = F.concat(
+        F.when(n > 0, F.concat(F.lit("⚠️ "), n.cast("string"), F.lit(" potentially hallucinated"))).otherwise(F.lit("")), F.when((n > 0) & (u > 0), F.lit(", ")).otherwise(F.lit("")), F.when(u > 0, F.concat(u.cast("string"), F.lit(" uncertain"))).otherwise(F.lit(""))
+    )
+    return F.when(g["has_hallucination"], F.concat(head, parts, F.lit(" statements detected\n"))).otherwise(F.concat(head, F.lit("All statements appear reliable\n")))
+
+
+def grounding_report(g: Column) -> Column:
+    """The sentence-by-sentence analysis of a response as markdown."""
+    reason = lambda r: F.concat(F.lit("  - ⚠️ *"), r, F.lit("*\n"))
+    line = lambda s: F.concat(
+        chosen(s["level"], LEVEL_ICON, "⚪"), F.lit(" **"), percent(s["confidence"]), F.lit("** — "), preview(s["text"]), F.lit("\n"), F.when(s["level"] != "grounded", F.array_join(F.transform(s["reasons"], reason), "")).otherwise(F.lit(""))
+    )
+    c = g["counts"]
+    counts = F.format_string("🟢 %d grounded · 🟡 %d uncertain · 🔴 %d hallucinated\n\n", c["grounded"], c["uncertain"], c["hallucinated"])
+    head = F.concat(F.lit("### 🧠 Hallucination Analysis\n\n**Overall Confidence:** "), chosen(g["overall_level"], LEVEL_ICON, "⚪"), F.lit(" **"), percent(g["overall_score"]), F.lit("** ("), chosen(g["overall_level"], LEVEL_LABEL, "Unknown"), F.lit(")\n\n"), confidence_bar(g["overall_score"]), F.lit("\n\n"))
+    return F.concat(head, F.when(g["has_hallucination"], F.concat(counts, F.array_join(F.transform(g["sentences"], line), ""))).otherwise(F.lit("*All statements appear well-grounded.* ✅\n\n")))
+
+
+def status_report(state: str, settings_lines: list[str], total: Column, allowed: Column, sanitized: Column) -> Column:
+    """State, settings and counts in one text."""
+    return F.concat(F.lit(f"State: {state}\n" + "".join(f"{x}\n" for x in settings_lines)), F.format_string("Total: %d, allowed: %d, sanitized: %d\n", total, allowed, sanitized))

@@ -108,7 +108,8 @@ def scan(df: DataFrame, text: str = "text", settings: Settings = Settings(), fai
     """The dry run: every row of ``df`` with findings, scores, risk, changes, sanitized text and decision.
 
     One narrow stage: no shuffle, no Python worker. A null text is scanned as an empty one. Columns of
-    ``df`` with the name of an output are replaced.
+    ``df`` with the name of an output are replaced. Filter rows before the scan; to filter on its outputs,
+    write or persist it first, else the optimiser pushes the filter down and detects twice.
     """
     return judged(with_findings(df, text, settings), settings, failed)
 

@@ -13,7 +13,7 @@ from sievework.functions import present
 from sievework.operators import audit, backend, decide, detect, output, sanitize, score
 from sievework.operators import rules as R
 from sievework.plans import oracle as O
-from sievework.plans.api import Settings, judged, report_columns, scan, with_findings
+from sievework.plans.api import Settings, judged, report_columns, scan, status_state, with_findings
 from sievework.plans.overlay import overlay
 from sievework.sources.tables import spread, table
 
@@ -506,6 +506,64 @@ def scan_report(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", present.scan_report(F.col("risk.final_score"), F.col("action"), F.col("findings"), F.col("changes"), F.lit(0)).alias("report"))
 
 
+@query(O.chain("overlay", "SELECT id, CASE WHEN n = 0 AND final_score < 0 THEN 'ALLOW' ELSE 'SANITIZE' END AS at_zero, CASE WHEN n = 0 AND final_score < 0.7 THEN 'ALLOW' ELSE 'SANITIZE' END AS at_high FROM r", O.findings(), O.scores()))
+def decision_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """The decision at other thresholds: at 0 even a clean text is changed."""
+    s = scan(source(spark, sf, "overlay"))
+    return s.select("id", decide.action(F.col("findings"), F.col("risk.final_score"), 0.0).alias("at_zero"), decide.action(F.col("findings"), F.col("risk.final_score"), 0.7).alias("at_high"))
+
+
+@query(O.chain("overlay", "SELECT id, type, match FROM f WHERE type IN ('SSN', 'EMAIL', 'PHONE', 'PHONE_INTL', 'CREDIT_CARD', 'IP_ADDRESS', 'PASSPORT', 'DOB')", O.findings(("pii",))))
+def pii_display_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal values as a log may show them."""
+    return unfolded(with_findings(source(spark, sf, "overlay"), "text", Settings(enabled_validators=("pii",)))).select("id", "type", "match")
+
+
+@query(
+    f"""SELECT outcome_id, CASE WHEN s >= 0.7 THEN '🟢' WHEN s >= 0.4 THEN '🟡' ELSE '🔴' END AS icon, CASE WHEN s >= 0.7 THEN 'Well-grounded' WHEN s >= 0.4 THEN 'Some uncertainty' ELSE 'Likely hallucinated' END AS label,
+    '`' || {_PCT("s")} || '` ' || repeat(CASE WHEN s >= 0.7 THEN '🟩' WHEN s >= 0.4 THEN '🟨' ELSE '🟥' END, floor(s * 20 + 0.5)::INT) || repeat('⬜', (20 - floor(s * 20 + 0.5))::INT) AS bar FROM (SELECT outcome_id, (outcome_id % 21)::DOUBLE / 20 AS s FROM validation_outcomes)"""
+)
+def grounding_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Icons, labels and bars of confidence; scores stand in for a model's."""
+    s = (F.col("outcome_id") % 21).cast("double") / 20
+    level = output.level(s)
+    return table(spark, sf, "validation_outcomes").select("outcome_id", present.chosen(level, present.LEVEL_ICON, "⚪").alias("icon"), present.chosen(level, present.LEVEL_LABEL, "Unknown").alias("label"), present.confidence_bar(s).alias("bar"))
+
+
+@query(
+    f"""SELECT outcome_id, chr(10) || '🟢 **Grounding: 100%** — ' || CASE WHEN NOT (a AND NOT p) THEN 'All statements appear reliable' ELSE CASE WHEN NOT ok THEN '⚠️ 1 potentially hallucinated' ELSE '' END || ' statements detected' END || chr(10) AS badge FROM ({_G})"""
+)
+def grounding_badges(spark: SparkSession, sf: str) -> DataFrame:
+    """One line per response on how well it is grounded."""
+    return _grounding(spark, sf).select("outcome_id", present.grounding_badge(F.col("g")).alias("badge"))
+
+
+@query()
+def grounding_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentence-by-sentence reports as markdown."""
+    return _grounding(spark, sf).select("outcome_id", present.grounding_report(F.col("g")).alias("report"))
+
+
+@query()
+def sanitize_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Header and footer of every text as markdown; a text that passed has no header.
+
+    Not by a filter on the decision: the optimiser would push it below the scan's projections and work out
+    the decision, with all it needs, twice.
+    """
+    s = scan(source(spark, sf, "overlay"))
+    header = F.when(F.col("action") == "SANITIZE", present.sanitize_header(F.col("risk.final_score"), F.col("changes")))
+    return s.select("id", header.alias("header"), present.footer(F.col("action")).alias("footer"))
+
+
+@query(f"SELECT 'State: local-only' || chr(10) || 'Threshold: 0.3' || chr(10) || 'Total: ' || count(*) || ', allowed: ' || count(*) FILTER ({_NORM} = 'allow') || ', sanitized: ' || count(*) FILTER ({_NORM} = 'sanitize') || chr(10) AS status FROM audit_entries")
+def status_report(spark: SparkSession, sf: str) -> DataFrame:
+    """State, settings and counts in one text."""
+    n = audit.stats(table(spark, sf, "audit_entries"))
+    settings = Settings()
+    return n.select(present.status_report(status_state(settings, False), [f"Threshold: {settings.sanitize_threshold}"], F.col("total"), F.col("allowed"), F.col("sanitized")).alias("status"))
+
+
 # ----------------------------------------------------------------------------------- against recorded rows
 @query(
     O.chain("requests", """SELECT coalesce(d.type, w.finding_type) AS type, count(*) FILTER (d.id IS NOT NULL AND w.id IS NOT NULL) AS both, count(*) FILTER (w.id IS NULL) AS ours_only, count(*) FILTER (d.id IS NULL) AS recorded_only
