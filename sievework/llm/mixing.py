@@ -9,8 +9,10 @@
 3.  Blocks of the mix are given to sources by Sainte-Lague: one after the other to the highest quotient
     share / (2 given + 1), which is done at once by searching the divisor. A source's quota is given to its
     shards the same way, by their tokens.
-4.  Within a shard a quota of whole rounds repeats every block; the rest goes to the blocks that come first
-    in the order of a second hash. Rows inherit the copies of their block.
+4.  Within a shard a quota of whole rounds repeats every block; the rest goes to a run of blocks that begins
+    at a seeded place and goes on from the start behind the last. Blocks follow the order of the hash, so a
+    run is a random choice of rows, and its tokens differ from so many block sizes by a row at most, however
+    unequal the rows are. A row larger than a block fills several. Rows inherit the copies of their block.
 
 What reaches the driver is a row per source and shard: at most ``MAX_SHARDS`` times the sources.
 
@@ -104,20 +106,20 @@ def mixed(sized: DataFrame, targets: DataFrame, seed: int = 0, block_tokens: int
     """
     spark = sized.sparkSession
     cut = blocks(sized, seed, block_tokens, shard_rows)
-    by_block = cut.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("tokens"))
     by_shard: dict[str, list[tuple[int, int, int]]] = {}
-    for r in by_block.groupBy("source", "shard").agg(F.count("*").alias("b"), F.sum("tokens").alias("t")).orderBy("source", "shard").collect():
+    for r in cut.groupBy("source", "shard").agg((F.max("block") + 1).alias("b"), F.sum("n_tokens").alias("t")).orderBy("source", "shard").collect():
         by_shard.setdefault(r["source"], []).append((r["shard"], r["b"], r["t"]))
     mixes: dict[str, dict[str, tuple[float, int]]] = {}
     for r in targets.select("mix_name", "source", "target_share", "max_repeats").collect():
         mixes.setdefault(r["mix_name"], {})[r["source"]] = (float(r["target_share"] or 0.0), int(r["max_repeats"] or 0))
     rows = [(m, s, shard, q, n) for m, t in mixes.items() for s, per in quotas(t, by_shard, block_tokens).items() for (shard, n, _), q in zip(by_shard[s], per.values(), strict=True) if q]
     quota = spark.createDataFrame(rows, "mix_name string, source string, shard int, quota long, blocks long")
-    order = Window.partitionBy("mix_name", "source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("block"), "mix_name", "shard", "block"), "block")
-    picked = by_block.join(quota, ["source", "shard"]).withColumn("place", F.row_number().over(order) - 1)
-    copies = (F.floor(F.col("quota") / F.col("blocks")) + (F.col("place") < F.col("quota") % F.col("blocks")).cast("long")).cast("int")
-    picked = picked.select("mix_name", "source", "shard", "block", copies.alias("copies")).where("copies > 0")
-    return cut.join(picked, ["source", "shard", "block"]).select("mix_name", "source", "doc_id", "n_tokens", "copies")
+    # a row per mix, source and shard; blocks are counted from a seeded place
+    joined = cut.join(quota, ["source", "shard"])
+    first = F.pmod(F.xxhash64(F.lit(seed), "mix_name", "source", "shard"), F.col("blocks"))
+    place = F.pmod(F.col("block") - first, F.col("blocks"))
+    copies = (F.floor(F.col("quota") / F.col("blocks")) + (place < F.col("quota") % F.col("blocks")).cast("long")).cast("int")
+    return joined.select("mix_name", "source", "doc_id", "n_tokens", copies.alias("copies")).where("copies > 0")
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
