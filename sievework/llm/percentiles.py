@@ -140,17 +140,36 @@ def _frame(rows: list[tuple], keys: list[str]) -> pd.DataFrame:
 
 
 def combine(parts: DataFrame, keys: Sequence[str], compression: float = COMPRESSION) -> DataFrame:
-    """Digests of ``parts`` merged per ``keys``: from partitions, days or any coarser group."""
-    kept = [k for k in keys if k != "salt"]
+    """Digests of ``parts`` merged per ``keys``: from partitions, days or any coarser group.
 
-    def one(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        some = b[b.n > 0]
-        parts = [tuple(np.asarray(x, float) for x in row) for row in zip(some.means, some.weights, some.mins, some.maxs, strict=True)]
-        named = (None if pd.isna(x) else x for x in key[: len(kept)])
-        return _frame([(*named, *merged(parts, compression), int(b.n.sum()), int(b.n_invalid.sum()))], kept)
+    Parts of a group come one after the other in a sorted partition, so a task holds those of one group.
+    """
+    order = [*[k for k in keys if k != "salt"], *(["salt"] if "salt" in keys else [])]
+    kept = [k for k in order if k != "salt"]
+    arrays = ["means", "weights", "mins", "maxs"]
 
-    order = [*kept, *(["salt"] if "salt" in keys else [])]
-    return parts.groupBy(*order).applyInPandas(one, "".join(f"{k} string, " for k in kept) + DIGEST)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, n, bad = None, [], 0, 0
+        for b in batches:
+            done = []
+            names = zip(*[[None if pd.isna(x) else x for x in b[k]] for k in order], strict=True) if order else iter([()] * len(b))
+            for now, digest_, some, invalid in zip(names, zip(*[b[a] for a in arrays], strict=True), b.n, b.n_invalid, strict=True):
+                if key is not None and now != key:
+                    done.append((*key[: len(kept)], *merged(held, compression), n, bad))
+                    held, n, bad = [], 0, 0
+                key, n, bad = now, n + int(some), bad + int(invalid)
+                if some:
+                    held.append(tuple(np.asarray(a, float) for a in digest_))
+                if len(held) > 64:
+                    held = [merged(held, compression)]
+            if done:
+                yield _frame(done, kept)
+        if key is not None:
+            yield _frame([(*key[: len(kept)], *merged(held, compression), n, bad)], kept)
+
+    columns = [*order, *arrays, "n", "n_invalid"]
+    together = parts.select(*columns).repartition(*order).sortWithinPartitions(*order) if order else parts.select(*columns).coalesce(1)
+    return together.mapInPandas(run, "".join(f"{k} string, " for k in kept) + DIGEST)
 
 
 def estimates(d: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
