@@ -5,8 +5,9 @@ standardised over all documents. A Gaussian mixture with diagonal covariances is
 expectation-maximisation; each iteration is one pass over all documents whose tasks return sums of
 responsibilities, first and second moments, added up by Spark: what reaches the driver is as large as the
 mixture, whatever the number of documents. Components start at inspected examples and afterwards take the
-label of the examples they are responsible for. A document's label is that of its likeliest component; an
-exact check for running sentences follows and can turn prose into list or the other way round.
+label of the examples they are responsible for. The share of words in running sentences is one of the
+statistics. A document's label is that of its likeliest component; only where another component is about as
+likely does an exact check of that share decide between prose and the rest.
 
 Defined cases: null or blank text, and text of nothing but furniture without a sentence, is ``empty`` or
 ``list``; a text of nothing but consent sentences is prose. Repeated texts have the same label.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sievework.sources.shared import settle
 
-STATS = ["log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punct_line_share", "common_share", "log_words_per_line", "marked_line_share", "repeat_share", "letter_ratio", "stop_density", "delimiter_density", "title_share"]
+STATS = ["log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punct_line_share", "common_share", "log_words_per_line", "marked_line_share", "repeat_share", "letter_ratio", "stop_density", "delimiter_density", "title_share", "sentence_share"]
 LABELS = ("prose", "list", "table", "junk", "empty")
 
 # Words of menus in the languages of the data.
@@ -36,6 +37,8 @@ MENU = set(
     "|inicio|buscar|ayuda|entrar|noticias|archivo|contacto|quiénes somos|tienda|carrito|aviso legal|mapa del sitio|siguiente|anterior|acerca de".split("|")
 )
 CONSENT = ("cookie", "small files on your", "petits fichiers", "kleine dateien", "archivos peque", "accept all", "alle akzeptieren", "tout accepter", "aceptar todo")
+#: ends of sentences, and of the buttons of notices
+PIECES = re.compile(r"(?:(?<=[.!?])|(?i:(?<=accept all)|(?<=alle akzeptieren)|(?<=tout accepter)|(?<=aceptar todo)))\s+")
 RIGHTS = ("all rights reserved", "alle rechte vorbehalten", "tous droits r", "todos los derechos res")
 OWNED = re.compile(r"^\W{0,4}(?:©|\(c\)\s*\d|copyright\b)|^â?©|^\W?Â©|^mirror \d+$", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -75,7 +78,7 @@ def _body(text: str) -> tuple[list[str], list[str]]:
             if any(x in low for x in CONSENT):
                 # a notice may have a sentence of content behind it on its line
                 notices.append(s)
-                body += [x for x in re.split(r"(?<=[.!?])\s+", s) if len(x.split()) > 3 and not any(c in x.lower() for c in CONSENT)]
+                body += [x for x in PIECES.split(s) if len(x.split()) > 3 and not any(c in x.lower() for c in CONSENT)]
                 continue
         body.append(s)
     while body and len(body[0]) < 120 and all(p.strip().lower() in MENU for p in PARTS.split(body[0])):
@@ -119,7 +122,7 @@ def _share(body: list[str], ended: list[bool]) -> float:
 
 
 def profile(text: str | None, common: frozenset[str] | set[str] = frozenset(COMMON)) -> tuple[list[float] | None, float]:
-    """The statistics of ``text`` in the order of STATS, None without content; and its share of sentences."""
+    """The statistics of ``text`` in the order of STATS, None without content; and its share of sentences, the last of them."""
     if not text or not text.strip():
         return None, 0.0
     body, notices = _body(text)
@@ -133,15 +136,16 @@ def profile(text: str | None, common: frozenset[str] | set[str] = frozenset(COMM
     solid = sum(map(len, joined.split())) or 1
     letters, digits = sum(map(len, words)), len(DIGIT.findall(joined))
     if n == 0:
-        return [0.0, 0.0, 1 - digits / solid, digits / solid, *[0.0] * 5, 0.0, 0.0, 0.0, 0.0], 0.0
+        return [0.0, 0.0, 1 - digits / solid, digits / solid, *[0.0] * 5, 0.0, 0.0, 0.0, 0.0, 0.0], 0.0
     ended = [bool(END.search(x[-6:])) for x in body]
     long = [w for w in words if len(w) > 1] or words
     marked = sum(bool(MARK.match(x)) and not SPEECH.match(x) or x[:1] in "-*" and bool(ITEM.match(x)) for x in body) / m
+    share = _share(body, ended)
     short = sum(x[:1].isupper() and not e and len(x) < 80 and x.count(" ") < 7 and not x.isupper() for x, e in zip(body, ended, strict=True)) / m
     return [
         float(np.log1p(n)), min(letters / n, 20.0), max(1 - (letters + digits) / solid, 0.0), digits / solid, sum(ended) / m, sum(w in common for w in long) / len(long), float(np.log1p(n / m)), marked,
-        1 - len(set(words)) / n if n > 8 else 0.0, letters / solid, min(len(STOP.findall(joined)) / n, 1.0), min(len(CELL.findall(joined)) / n, 3.0), short * (m > 2),
-    ], _share(body, ended)
+        1 - len(set(words)) / n if n > 8 else 0.0, letters / solid, min(len(STOP.findall(joined)) / n, 1.0), min(len(CELL.findall(joined)) / n, 3.0), short * (m > 2), share,
+    ], share
 
 
 def statistics(text: str | None) -> list[float] | None:
@@ -229,16 +233,16 @@ def _named(mix: Mixture) -> Mixture:
 
 
 def with_statistics(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:
-    """(id, the statistics, sentence_share): one row per row of ``df``; statistics are null without content."""
+    """(id, the statistics): one row per row of ``df``; without content they are null, but sentence_share is 0."""
     fields = ",".join(f"{s}:double" for s in STATS)
 
-    @F.pandas_udf(f"struct<{fields},sentence_share:double>")
+    @F.pandas_udf(f"struct<{fields}>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        none = [np.nan] * len(STATS)
+        none = [*[np.nan] * (len(STATS) - 1), 0.0]
         for s in batches:
             codes, values = pd.factorize(s)
-            rows = [[*(x or none), share] for x, share in map(profile, values)] + [[*none, 0.0]]  # code -1 is null
-            out = pd.DataFrame(np.array(rows, float)[codes], columns=[*STATS, "sentence_share"], index=s.index)
+            rows = [x or none for x, _ in map(profile, values)] + [none]  # code -1 is null
+            out = pd.DataFrame(np.array(rows, float)[codes], columns=STATS, index=s.index)
             yield out.astype(object).where(out.notna(), None)
 
     return df.select(F.col(id_col), apply(F.col(column)).alias("s")).select(id_col, "s.*")
@@ -274,25 +278,30 @@ def fit(stats: DataFrame, iterations: int = 10) -> Mixture:
 
 #: share of words in running sentences from which the exact check calls a text prose, and below which not
 SENTENCES_MANY, SENTENCES_FEW = 0.35, 0.2
+#: responsibility of the second component, as a part of the first's, from which a text is close and is checked
+CLOSE = 0.1
 
 
 def labelled(stats: DataFrame, mix: Mixture) -> DataFrame:
-    """``stats`` with ``component_label`` (of the mixture) and ``label`` (after the exact check)."""
+    """``stats`` with ``component_label`` (of the mixture), ``close`` and ``label`` (after the exact check of what is close)."""
 
-    @F.pandas_udf("string")
-    def name(*cols: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<component_label:string,close:boolean>")
+    def name(*cols: pd.Series) -> pd.DataFrame:
         x = np.stack([c.to_numpy(float) for c in cols], 1)
         ok = ~np.isnan(x).any(1)
-        out = np.full(len(x), "empty", dtype=object)
+        out, close = np.full(len(x), "empty", dtype=object), np.zeros(len(x), dtype=bool)
         if ok.any():
-            out[ok] = np.array(mix.labels, dtype=object)[mix.responsibilities(x[ok]).argmax(1)]
-        return pd.Series(out)
+            r = mix.responsibilities(x[ok])
+            out[ok] = np.array(mix.labels, dtype=object)[r.argmax(1)]
+            r.sort(1)
+            close[ok] = r[:, -2] >= CLOSE * r[:, -1]
+        return pd.DataFrame({"component_label": out, "close": close})
 
-    got = stats.withColumn("component_label", name(*[F.col(s) for s in STATS]))
+    got = stats.withColumn("m", name(*[F.col(s) for s in STATS])).select(*stats.columns, "m.*")
     c, share = F.col("component_label"), F.col("sentence_share")
     # what is not prose is a table if it is mostly figures or cells, else a list
-    other = F.when(c != "prose", c).when((F.col("digit_ratio") > 0.2) | (F.col("delimiter_density") > 1.0), "table").when(F.col("common_share") < 0.02, "list").otherwise("list")
-    return got.withColumn("label", F.when(c == "empty", "empty").when(share >= SENTENCES_MANY, "prose").when(share < SENTENCES_FEW, other).otherwise(c))
+    other = F.when(c != "prose", c).when((F.col("digit_ratio") > 0.2) | (F.col("delimiter_density") > 1.0), "table").otherwise("list")
+    return got.withColumn("label", F.when((c == "empty") | ~F.col("close"), c).when(share >= SENTENCES_MANY, "prose").when(share < SENTENCES_FEW, other).otherwise(c))
 
 
 def classified(df: DataFrame, id_col: str = "doc_id", column: str = "text", iterations: int = 10) -> DataFrame:

@@ -53,3 +53,22 @@ def test_em_raises_the_likelihood():
     for _ in range(8):
         m = m.updated(m.moments(x))
     assert likelihood(m) > first and m.weight.sum() == pytest.approx(1)
+
+
+def test_the_mixture_decides_unless_two_components_are_close(spark):
+    x = Q.statistics(PROSE)
+    assert Q.STATS[-1] == "sentence_share" and x[-1] == Q.profile(PROSE)[1] > 0.9
+    k = len(Q.STATS)
+    mean = np.stack([np.full(k, -2.0), np.full(k, 2.0)])
+    mix = Q.Mixture(np.zeros(k), np.ones(k), np.array([0.5, 0.5]), mean, np.ones((2, k)), ["list", "prose"])
+    # far on the side of either component, whatever the share; and in the middle, where the share decides
+    rows = [[-2.0] * (k - 1) + [0.9], [2.0] * (k - 1) + [0.0], [0.0] * (k - 1) + [0.5], [0.0] * (k - 1) + [0.1]]
+    mix.mean[:, -1] = 0.0
+    got = [tuple(r) for r in Q.labelled(spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{s} double" for s in Q.STATS)), mix).select("component_label", "close", "label").collect()]
+    assert got[:2] == [("list", False, "list"), ("prose", False, "prose")]
+    assert [(c, label) for _, c, label in got[2:]] == [(True, "prose"), (True, "list")]
+
+
+def test_a_sentence_behind_the_button_of_a_notice_is_content():
+    x = Q.profile("Wir verwenden Cookies, um Ihren Besuch zu verbessern.\nDiese Seite speichert kleine Dateien. Alle akzeptieren Der Schulgarten verkaufte ohne große Ankündigung zwei Gewächshäuser, weil es nicht für alle war.")
+    assert x[1] == 1 and x[0] == Q.statistics("Der Schulgarten verkaufte ohne große Ankündigung zwei Gewächshäuser, weil es nicht für alle war.")
