@@ -517,7 +517,7 @@ def scored(df: DataFrame, column: str, out: str = "abuse_score", sample: int = 9
     return df.withColumn(out, abuse_score(sample)(F.col(column)))
 
 
-def rates(df: DataFrame, column: str, source: str, sample: int = 9_000) -> DataFrame:
-    """Per value of ``source`` (null is a value): texts, flagged texts, their share and the mean score."""
-    s = df.select(F.col(source).alias("source"), F.col(column).isNotNull().alias("has"), abuse_score(sample)(F.col(column)).alias("p")).where("has")
-    return s.groupBy("source").agg(F.count("*").alias("texts"), F.count_if(F.col("p") >= THRESHOLD).alias("flagged"), F.avg("p").alias("mean_score")).withColumn("rate", F.col("flagged") / F.col("texts"))
+def rates(df: DataFrame, column: str, source: str, sample: int = 9_000, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per value of ``also`` and ``source`` (null is a value): texts, flagged texts, their share and the mean score."""
+    s = df.select(*also, F.col(source).alias("source"), F.col(column).isNotNull().alias("has"), abuse_score(sample)(F.col(column)).alias("p")).where("has")
+    return s.groupBy(*also, "source").agg(F.count("*").alias("texts"), F.count_if(F.col("p") >= THRESHOLD).alias("flagged"), F.avg("p").alias("mean_score")).withColumn("rate", F.col("flagged") / F.col("texts"))

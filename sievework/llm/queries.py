@@ -93,8 +93,10 @@ def p3_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
-    """Rates of abusive requests per channel."""
-    return abuse.rates(texts(spark, sf, "validate_requests", "channel", "llm_output"), "llm_output", "channel")
+    """Rates of abusive texts per table, of requests and of outcomes, and channel."""
+    a = texts(spark, sf, "validate_requests", "channel", "llm_output").select(F.lit("validate_requests").alias("src_table"), "channel", F.col("llm_output").alias("text"))
+    b = texts(spark, sf, "validation_outcomes", "channel", "raw_llm_output").select(F.lit("validation_outcomes").alias("src_table"), "channel", F.col("raw_llm_output").alias("text"))
+    return abuse.rates(a.unionByName(b), "text", "channel", also=("src_table",))
 
 
 # ------------------------------------------------------------------------------------------- 4 look-alikes

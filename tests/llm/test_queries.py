@@ -28,3 +28,16 @@ def test_runs(spark, sf, name):
 
 def test_names():
     assert all(re.fullmatch(r"p[1-8]_\w+", n) for n in L.queries()) and set(L.oracle_sql()) <= set(L.queries())
+
+
+def test_rates_count_every_text_of_both_tables(spark, sf):
+    ship(spark)
+    got = {(r["src_table"], r["source"]): (r["texts"], r["flagged"]) for r in L.p3_rates(spark, sf).collect()}
+    want = {}
+    for t, c in (("validate_requests", "llm_output"), ("validation_outcomes", "raw_llm_output")):
+        for r in spark.read.parquet(f"{sf}/{t}.parquet").where(f"{c} is not null").groupBy("channel").count().collect():
+            want[t, r["channel"]] = r["count"]
+    assert {k: n for k, (n, _) in got.items()} == want
+    flagged = {r["src_table"]: r["count"] for r in L.p3_found(spark, sf).groupBy("src_table").count().collect()}
+    for t in ("validate_requests", "validation_outcomes"):
+        assert sum(f for (name, _), (_, f) in got.items() if name == t) == flagged.get(t, 0)
