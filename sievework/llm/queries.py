@@ -70,9 +70,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    """Every request with its credentials replaced by placeholders."""
-    r = texts(spark, sf, "validate_requests", "request_id", "llm_output")
-    return r.select("request_id", credentials.redacted()(F.col("llm_output")).alias("redacted"))
+    """Every request and every match of a finding with its credentials replaced by placeholders."""
+    r = texts(spark, sf, "validate_requests", "request_id", "llm_output").select(F.lit("validate_requests").alias("src_table"), F.col("request_id").alias("rec_id"), credentials.redacted()(F.col("llm_output")).alias("redacted"))
+    f = texts(spark, sf, "findings", "finding_id", "match_text").select(F.lit("findings").alias("src_table"), F.col("finding_id").alias("rec_id"), credentials.redacted(alone=True)(F.col("match_text")).alias("redacted"))
+    return r.unionByName(f)
 
 
 # ------------------------------------------------------------------------------------------------ 3 abuse
@@ -128,9 +129,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    """Every request with typed placeholders for its personal data."""
-    r = texts(spark, sf, "validate_requests", "request_id", "llm_output")
-    return r.select("request_id", personal.redacted()(F.col("llm_output")).alias("redacted"))
+    """Every request and every original text of a change with typed placeholders for its personal data."""
+    r = texts(spark, sf, "validate_requests", "request_id", "llm_output").select(F.lit("validate_requests").alias("src_table"), F.col("request_id").alias("rec_id"), personal.redacted()(F.col("llm_output")).alias("redacted"))
+    c = texts(spark, sf, "sanitize_changes", "change_id", "original_text").select(F.lit("sanitize_changes").alias("src_table"), F.col("change_id").alias("rec_id"), personal.redacted(alone=True)(F.col("original_text")).alias("redacted"))
+    return r.unionByName(c)
 
 
 # ---------------------------------------------------------------------------------------------- 6 packing

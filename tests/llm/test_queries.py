@@ -41,3 +41,20 @@ def test_rates_count_every_text_of_both_tables(spark, sf):
     flagged = {r["src_table"]: r["count"] for r in L.p3_found(spark, sf).groupBy("src_table").count().collect()}
     for t in ("validate_requests", "validation_outcomes"):
         assert sum(f for (name, _), (_, f) in got.items() if name == t) == flagged.get(t, 0)
+
+
+@pytest.mark.parametrize(
+    "number,mark,tables",
+    [
+        (2, r"\[REDACTED-", [("validate_requests", "request_id", "llm_output"), ("findings", "finding_id", "match_text")]),
+        (5, r"\[(?:EMAIL|PHONE|ID_NUMBER|ADDRESS|NAME)\]", [("validate_requests", "request_id", "llm_output"), ("sanitize_changes", "change_id", "original_text")]),
+    ],
+)
+def test_redacted_covers_both_tables(spark, sf, number, mark, tables):
+    ship(spark)
+    got = {(r["src_table"], r["rec_id"]): r["redacted"] for r in L.queries()[f"p{number}_redacted"](spark, sf).collect()}
+    raw = {(t, r[0]): r[1] for t, key, c in tables for r in spark.read.parquet(f"{sf}/{t}.parquet").select(key, c).collect()}
+    assert got.keys() == raw.keys() and all((got[k] is None) == (raw[k] is None) for k in raw)
+    found = {(r["src_table"], r["rec_id"]) for r in L.queries()[f"p{number}_found"](spark, sf).collect()}
+    assert {t for t, _ in found} == {t for t, _, _ in tables}
+    assert all(got[k] != raw[k] and re.search(mark, got[k]) for k in found)
