@@ -110,13 +110,19 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per message: the class of texts that look like it."""
-    return lookalike.classes(texts(spark, sf, "backend_messages", "message_id", "content"), "message_id", "content")
+    """One row per request and per message with a text: the class of texts of its table that look like it."""
+    def over(name: str, key: str, column: str) -> DataFrame:
+        return lookalike.classes(texts(spark, sf, name, key, column), key, column).select(F.lit(name).alias("src_table"), F.col(key).alias("rec_id"), "class_id", "class_rows", "spellings")
+
+    return over("validate_requests", "request_id", "llm_output").unionByName(over("backend_messages", "message_id", "content"))
 
 
 def p4_normal(spark: SparkSession, sf: str) -> DataFrame:
-    """Every request in the form for comparison."""
-    return lookalike.normalised(texts(spark, sf, "validate_requests", "request_id", "llm_output"), "llm_output").select("request_id", "normal_text")
+    """Every request and every message in the form for comparison."""
+    def over(name: str, key: str, column: str) -> DataFrame:
+        return lookalike.normalised(texts(spark, sf, name, key, column), column).select(F.lit(name).alias("src_table"), F.col(key).alias("rec_id"), "normal_text")
+
+    return over("validate_requests", "request_id", "llm_output").unionByName(over("backend_messages", "message_id", "content"))
 
 
 # ---------------------------------------------------------------------------------------- 5 personal data

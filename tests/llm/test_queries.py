@@ -58,3 +58,18 @@ def test_redacted_covers_both_tables(spark, sf, number, mark, tables):
     found = {(r["src_table"], r["rec_id"]) for r in L.queries()[f"p{number}_found"](spark, sf).collect()}
     assert {t for t, _ in found} == {t for t, _, _ in tables}
     assert all(got[k] != raw[k] and re.search(mark, got[k]) for k in found)
+
+
+def test_normal_forms_and_classes_cover_both_tables(spark, sf):
+    ship(spark)
+    tables = [("validate_requests", "request_id", "llm_output"), ("backend_messages", "message_id", "content")]
+    raw = {(t, r[0]): r[1] for t, key, c in tables for r in spark.read.parquet(f"{sf}/{t}.parquet").select(key, c).collect()}
+    normal = {(r["src_table"], r["rec_id"]): r["normal_text"] for r in L.p4_normal(spark, sf).collect()}
+    assert normal.keys() == raw.keys() and all((normal[k] is None) == (raw[k] is None) for k in raw)
+    classes = {(r["src_table"], r["rec_id"]): r["class_id"] for r in L.p4_classes(spark, sf).collect()}
+    assert classes.keys() == {k for k, v in raw.items() if v is not None}
+    pairs = L.p4_found(spark, sf).collect()
+    assert {p["src_table"] for p in pairs} == {t for t, _, _ in tables}
+    for p in pairs:
+        a, b = (p["src_table"], p["id_a"]), (p["src_table"], p["id_b"])
+        assert normal[a] == normal[b] and classes[a] == classes[b]
