@@ -112,16 +112,24 @@ REFERENCE = re.compile(r"(?i)^(?:(?:os|process|sys|env|config|settings|secrets?|
 HEX = re.compile(r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 DIGEST = re.compile(r"^(?:sha\d+[-:]|md5[-:])")
-#: a text or line without any of these, in lower case, holds nothing that is looked for
+#: a text or line without any of these, in lower case, and without a match of SHORT, holds nothing that is looked for
 SIGNS = (
-    "pass", "pw", "contrase", "clave", "kennwort", "secret", "token", "key", "schlüssel", "clé", "login", "log in", "auth", "bearer", "://", "private", "credential", "webhook", "sid=", "session", "-u ", "-p ",
-    "akia", "asia", "eyj", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "sg.", "aiza", "npm_", "k_live_", "k_test_", "sk-", "pypi-", "dop_v1", "hf_", "ya29.",
+    # names and words of talk
+    "pass", "pw", "contrase", "clave", "kennwort", "secret", "token", "key", "schlüssel", "clé", "login", "log in", "auth", "bearer", "private", "credential", "webhook", "sid=", "session",
+    "signature", "hash_salt", "hashsalt", "pepper", "zugangsdaten", "geheimnis", "jeton", "llave",
+    # links, and commands with their options
+    "://", "-u", "-p ", "mysql", "redis-cli", "psql", "mongo", "ldapsearch", "smbclient",
+    # formats of vendors
+    "akia", "asia", "eyj", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sg.", "aiza", "npm_", "k_live_", "k_test_", "sk-", "pypi-", "dop_v1", "hf_", "ya29.",
 )
+#: signs that are part of many words, with what must stand around them; one of SHORT_IN is in each
+SHORT = re.compile(r"(?<![a-z])pin(?![a-z])|(?:bot|(?<![a-z])sk|(?<![a-z])sig)[\"'\]]*\s*(?:->|[:=])|(?<![a-z0-9])sk[0-9a-f]{32}|\s--user")
+SHORT_IN = ("pin", "bot", "sk", "sig", "--user")
 
 
 def _gate(text: str) -> bool:
     low = text.lower()
-    return any(x in low for x in SIGNS)
+    return any(x in low for x in SIGNS) or any(x in low for x in SHORT_IN) and bool(SHORT.search(low))
 
 
 class Detector:
