@@ -137,10 +137,12 @@ ADDRESS = re.compile(
 )
 CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?\b")
-GATE = re.compile(rf"@|\b[aA][tT]\b|\d{{2}}|[{_UP}]\d|[{_UP}]{{9}}|[{_UP}][\w.’'-]*,?\s+[{_UP}]")
+# Words before the names of French streets.
+_RUE = r"(?:rue|avenue|av\.|chemin|impasse|boulevard|bd|allée|place|quai|route|cours|passage|square|sentier)"
+GATE = re.compile(rf"@|\b[aA][tT]\b|\d{{2}}|[{_UP}]\d|[{_UP}]{{9}}|[{_UP}][\w.’'-]*,?\s+[{_UP}]|[\w.’'-],?\s\d|(?i:box|postfach|apartado|correos|postale|bp\s)\s*\d|\d\s?(?:bis|ter|quater)?,?\s{_RUE}\s")
 #: what any number rule, any address and any written-out e-mail address needs
 NUMBERS = re.compile(r"\d(?:[\s().\-/\u2011\u2013]{0,2}\d){6}|[A-Z0-9]{8}")
-HOUSE = re.compile(rf"\d{{1,5}}\s?[a-z]?,?\s(?:bis|ter|quater)?,?\s?(?:[{_UP}]|rue|av|chemin|impasse|boulevard|bd|allée|place|quai|route|cours|passage|square|sentier)|[{_UP}{_LOW}.],?\s\d{{1,4}}\s?[a-z]?(?:\b)|(?i:box|postfach|apartado|postale|\bbp\s)")
+HOUSE = re.compile(rf"\d{{1,5}}\s?(?:bis|ter|quater|[a-z])?,?\s(?:bis|ter|quater)?,?\s?(?:[{_UP}]|{_RUE}\s)|[\w.’'-],?\s\d{{1,4}}\s?[a-z]?\b|(?i:box|postfach|apartado|correos|postale|\bbp\s)")
 WRITTEN = re.compile(r"[\[({]\s?at|\b(?:at|AT)\s+[A-Za-z0-9-]+(?:\.[A-Za-z]|\s(?:dot|DOT)\s|\s?[\[({]\s?dot)")
 TLD = re.compile(r"(?i)^(?:[a-z]{2}|com|net|org|edu|gov|mil|int|info|biz|name|pro|app|dev|online|shop|site|tech|cloud|example|test|invalid|local|mail|email|museum|coop|jobs|mobi|travel)$")
 

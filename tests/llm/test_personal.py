@@ -51,3 +51,17 @@ def test_table(spark):
     got = sorted(tuple(r) for r in P.personal_lines(df, "id", "t").collect())
     assert got == [(1, 2, "EMAIL"), (1, 3, "PHONE"), (4, 1, "EMAIL"), (5, 1, "EMAIL")]
     assert P.personal_lines(df.limit(0), "id", "t").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Birkenweg 5", "5 rue Pasteur", "5, rue Pasteur", "5bis rue Pasteur", "12bis rue Victor Hugo", "12bis, rue Victor Hugo", "12 bis rue Victor Hugo", "7ter chemin du Lac", "3 quai Voltaire", "Postfach 7", "postfach7", "p.o. box 4", "apartado de correos 9", "boîte postale 3", "BP 8",
+     "Calle Mayor 5", "C/Mayor, 5", "Plaza Mayor, 3", "Lindenstr. 4", "5 Elm St", "4 N Mill Road", "Am Anger 3, 94755 Falkental"],
+)
+@pytest.mark.parametrize("alone", [False, True])
+def test_addresses_whose_only_sign_is_a_house_number(text, alone):
+    assert [s.kind for s in F.spans(text, alone)] == ["ADDRESS"] and F.redact(text, alone).startswith("[ADDRESS]")
+
+
+def test_gates_of_addresses_cover_the_rule():
+    assert all(P.GATE.search(t) and P.HOUSE.search(t) for t in ("Birkenweg 5", "5 rue Pasteur", "12bis rue Victor Hugo", "Postfach 7", "C/Mayor, 5"))
