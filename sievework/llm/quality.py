@@ -2,7 +2,7 @@
 
 Page furniture (menus, consent notices, copyright lines) is left aside first. Statistics of the rest are
 standardised over all documents. A Gaussian mixture with diagonal covariances is fitted by
-expectation-maximisation; each iteration is one pass over all documents whose tasks return sums of
+expectation-maximisation until the likelihood comes to rest; each iteration is one pass over all documents whose tasks return sums of
 responsibilities, first and second moments, added up by Spark: what reaches the driver is as large as the
 mixture, whatever the number of documents. Components start at inspected examples and afterwards take the
 label of the examples they are responsible for. The share of words in running sentences is one of the
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -179,6 +179,12 @@ EXAMPLES: list[tuple[str, str]] = [
 ]
 
 
+#: documents that the example of a component counts for, on inputs of any size
+PRIOR = 5.0
+#: change of the mean log-likelihood of a document at which EM has come to rest, and steps after which it stops unconverged
+TOLERANCE, MOST_ITERATIONS = 1e-4, 200
+
+
 @dataclass
 class Mixture:
     """Gaussian mixture with diagonal covariances over standardised statistics."""
@@ -189,28 +195,41 @@ class Mixture:
     mean: np.ndarray
     var: np.ndarray
     labels: list[str]
+    #: means and variances at which the components started, which stay in the sums as PRIOR documents each
+    start: tuple[np.ndarray, np.ndarray] | None = None
+    #: steps taken, whether the likelihood had come to rest by then, and its mean logarithm before the last step
+    iterations: int = 0
+    converged: bool = False
+    log_likelihood: float = float("nan")
+
+    def _logs(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.centre) / self.scale
+        return -0.5 * (((z[:, None, :] - self.mean) ** 2) / self.var + np.log(self.var)).sum(2) + np.log(self.weight)
 
     def responsibilities(self, x: np.ndarray) -> np.ndarray:
         """Of each component for each row of raw statistics."""
-        z = (x - self.centre) / self.scale
-        log = -0.5 * (((z[:, None, :] - self.mean) ** 2) / self.var + np.log(self.var)).sum(2) + np.log(self.weight)
+        log = self._logs(x)
         log -= log.max(1, keepdims=True)
         r = np.exp(log)
         return r / r.sum(1, keepdims=True)
 
     def moments(self, x: np.ndarray) -> np.ndarray:
-        """Sums that one step of maximisation needs, as one vector."""
-        z, r = (x - self.centre) / self.scale, self.responsibilities(x)
-        return np.concatenate([r.sum(0), (r.T @ z).ravel(), (r.T @ z**2).ravel()])
+        """Sums that one step of maximisation needs, and of the log-likelihood (less a constant), as one vector."""
+        z, log = (x - self.centre) / self.scale, self._logs(x)
+        most = log.max(1, keepdims=True)
+        r = np.exp(log - most)
+        total = r.sum(1, keepdims=True)
+        r /= total
+        return np.concatenate([r.sum(0), (r.T @ z).ravel(), (r.T @ z**2).ravel(), [(most + np.log(total)).sum()]])
 
     def updated(self, sums: np.ndarray, floor: float = 0.05) -> Mixture:
         k, d = self.mean.shape
-        w, s1, s2 = sums[:k], sums[k : k + k * d].reshape(k, d), sums[k + k * d :].reshape(k, d)
-        kept = w[:, None] > 2 * d  # a component that lost its documents stays where it is
-        safe = np.maximum(w[:, None], 1e-9)
-        mean = np.where(kept, s1 / safe, self.mean)
-        var = np.where(kept, np.maximum(s2 / safe - mean**2, floor), self.var)
-        return Mixture(self.centre, self.scale, np.maximum(w, 1.0) / np.maximum(w, 1.0).sum(), mean, var, self.labels)
+        w, s1, s2 = sums[:k, None], sums[k : k + k * d].reshape(k, d), sums[k + k * d : k + 2 * k * d].reshape(k, d)
+        mean0, var0 = self.start or (self.mean, self.var)
+        n = w + PRIOR  # a component that lost its documents goes back to its example
+        mean = (s1 + PRIOR * mean0) / n
+        var = np.maximum((s2 + PRIOR * (var0 + mean0**2)) / n - mean**2, floor)
+        return replace(self, weight=(n / n.sum())[:, 0], mean=mean, var=var, start=(mean0, var0), iterations=self.iterations + 1, log_likelihood=float(sums[-1] / max(w.sum(), 1e-9)))
 
 
 def _seeded(centre: np.ndarray, scale: np.ndarray) -> Mixture:
@@ -229,7 +248,7 @@ def _named(mix: Mixture) -> Mixture:
             by[label] = by.get(label, 0.0) + w
         best = max(by, key=by.get)
         labels.append(best if by[best] > 0.05 else EXAMPLES[k][0])
-    return Mixture(mix.centre, mix.scale, mix.weight, mix.mean, mix.var, labels)
+    return replace(mix, labels=labels)
 
 
 def with_statistics(df: DataFrame, id_col: str = "doc_id", column: str = "text") -> DataFrame:
@@ -248,8 +267,11 @@ def with_statistics(df: DataFrame, id_col: str = "doc_id", column: str = "text")
     return df.select(F.col(id_col), apply(F.col(column)).alias("s")).select(id_col, "s.*")
 
 
-def fit(stats: DataFrame, iterations: int = 10) -> Mixture:
-    """EM over all rows of ``stats`` that have statistics. ``stats`` should be materialised."""
+def fit(stats: DataFrame, iterations: int = MOST_ITERATIONS, tolerance: float = TOLERANCE) -> Mixture:
+    """EM over all rows of ``stats`` that have statistics, until the mean log-likelihood changes by less than ``tolerance``.
+
+    ``stats`` should be materialised. The mixture says how many iterations it took and whether it converged.
+    """
     rows = stats.where(F.col(STATS[0]).isNotNull()).select(*STATS)
     one = rows.agg(*[F.avg(s).alias(f"a{i}") for i, s in enumerate(STATS)], *[F.stddev_pop(s).alias(f"d{i}") for i, s in enumerate(STATS)]).first()
     centre = np.array([one[f"a{i}"] or 0.0 for i in range(len(STATS))], float)
@@ -269,10 +291,13 @@ def fit(stats: DataFrame, iterations: int = 10) -> Mixture:
         added = rows.mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as large as the mixture
         if not added:
             break
-        vector = np.zeros(len(mix.weight) * (1 + 2 * len(STATS)))
+        vector = np.zeros(len(mix.weight) * (1 + 2 * len(STATS)) + 1)
         for r in added:
             vector[r["i"]] = r["v"]
-        mix = mix.updated(vector)
+        before, mix = mix.log_likelihood, mix.updated(vector)
+        if abs(mix.log_likelihood - before) < tolerance:
+            mix = replace(mix, converged=True)
+            break
     return _named(mix)
 
 
@@ -283,7 +308,7 @@ CLOSE = 0.1
 
 
 def labelled(stats: DataFrame, mix: Mixture) -> DataFrame:
-    """``stats`` with ``component_label`` (of the mixture), ``close`` and ``label`` (after the exact check of what is close)."""
+    """``stats`` with ``component_label`` (of the mixture), ``close``, what EM reached, and ``label`` (after the exact check of what is close)."""
 
     @F.pandas_udf("struct<component_label:string,close:boolean>")
     def name(*cols: pd.Series) -> pd.DataFrame:
@@ -297,14 +322,14 @@ def labelled(stats: DataFrame, mix: Mixture) -> DataFrame:
             close[ok] = r[:, -2] >= CLOSE * r[:, -1]
         return pd.DataFrame({"component_label": out, "close": close})
 
-    got = stats.withColumn("m", name(*[F.col(s) for s in STATS])).select(*stats.columns, "m.*")
+    got = stats.withColumn("m", name(*[F.col(s) for s in STATS])).select(*stats.columns, "m.*", F.lit(mix.iterations).alias("em_iterations"), F.lit(mix.converged).alias("em_converged"))
     c, share = F.col("component_label"), F.col("sentence_share")
     # what is not prose is a table if it is mostly figures or cells, else a list
     other = F.when(c != "prose", c).when((F.col("digit_ratio") > 0.2) | (F.col("delimiter_density") > 1.0), "table").otherwise("list")
     return got.withColumn("label", F.when((c == "empty") | ~F.col("close"), c).when(share >= SENTENCES_MANY, "prose").when(share < SENTENCES_FEW, other).otherwise(c))
 
 
-def classified(df: DataFrame, id_col: str = "doc_id", column: str = "text", iterations: int = 10) -> DataFrame:
+def classified(df: DataFrame, id_col: str = "doc_id", column: str = "text", iterations: int = MOST_ITERATIONS) -> DataFrame:
     """Statistics and labels of every row of ``df``. Statistics are computed once and checkpointed."""
     stats = settle(with_statistics(df, id_col, column))
     return labelled(stats, fit(stats, iterations))

@@ -72,3 +72,22 @@ def test_the_mixture_decides_unless_two_components_are_close(spark):
 def test_a_sentence_behind_the_button_of_a_notice_is_content():
     x = Q.profile("Wir verwenden Cookies, um Ihren Besuch zu verbessern.\nDiese Seite speichert kleine Dateien. Alle akzeptieren Der Schulgarten verkaufte ohne große Ankündigung zwei Gewächshäuser, weil es nicht für alle war.")
     assert x[1] == 1 and x[0] == Q.statistics("Der Schulgarten verkaufte ohne große Ankündigung zwei Gewächshäuser, weil es nicht für alle war.")
+
+
+def test_em_runs_until_it_converges_and_says_so(spark):
+    df = spark.createDataFrame([(i, t) for i, (t) in enumerate([t for _, t in Q.EXAMPLES] * 5 + [PROSE, LIST, TABLE, None] * 10)], "doc_id long, text string").repartition(3)
+    stats = Q.with_statistics(df).localCheckpoint()
+    mix = Q.fit(stats)
+    assert mix.converged and 1 < mix.iterations < Q.MOST_ITERATIONS and np.isfinite(mix.log_likelihood)
+    again = Q.fit(stats, mix.iterations + 1, tolerance=0.0)
+    assert abs(again.log_likelihood - mix.log_likelihood) < Q.TOLERANCE
+    cut = Q.fit(stats, 2)
+    assert not cut.converged and cut.iterations == 2
+    assert {tuple(r) for r in Q.labelled(stats, cut).select("em_iterations", "em_converged").distinct().collect()} == {(2, False)}
+
+
+def test_a_component_of_few_documents_is_updated():
+    m = Q._seeded(np.zeros(len(Q.STATS)), np.ones(len(Q.STATS)))
+    x = np.repeat(m.mean[:1] + 0.1, 10, 0)
+    moved = m.updated(m.moments(x)).mean[0] - m.mean[0]  # other components take a part of the documents
+    assert (moved > 0.01).all() and (moved < 0.1).all()
