@@ -203,6 +203,17 @@ class Detector:
             return v[:-1] not in self.seg.words
         return self.seg.residual(v) >= (5 if self.irregular(v) else 16)
 
+    def material(self, body: str) -> bool:
+        """Whether a key stands between the BEGIN line and the END line, or the end of the text."""
+        if re.search(r"[A-Za-z0-9+/=]{16}", body[:400]):
+            return True
+        # further on, a long word or a path is no key
+        if any(self.seg.residual(x) >= 8 and len(set(x)) >= 6 for x in re.findall(r"[A-Za-z0-9+/=]{16,}", body[400:])):
+            return True
+        # pieces of fewer characters: lines or quoted strings of nothing else
+        pieces = "".join(re.findall(r"(?m)^[ \t]*[\"'`]?([A-Za-z0-9+/=]+)(?:\\n)?[\"'`]?[ \t,+;\\]*$", body))
+        return len(pieces) >= 32 and self.seg.residual(pieces) >= 16 and bool(re.search(r"\d", pieces) and re.search(r"[a-z]", pieces) and re.search(r"[A-Z]", pieces))
+
     # ---- one text
     def spans(self, text: str, alone: bool = False) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the credentials of ``text``, in order, not overlapping.
@@ -214,10 +225,9 @@ class Detector:
         out: list[tuple[int, int, str]] = []
         shut: list[tuple[int, int]] = [m.span() for m in PUBLIC.finditer(text)]
         for m in PRIVATE.finditer(text):
-            tail = text[m.end() :]
-            if not re.search(r"[A-Za-z0-9+/=]{16}", tail[:400]):
-                continue  # only the header is named
             end = PRIVATE_END.search(text, m.end())
+            if not self.material(text[m.end() : end.start() if end else len(text)]):
+                continue  # only the header is named
             out.append((m.start(), end.end() if end else len(text), "PRIVATE_KEY"))
             shut.append(out[-1][:2])
         free = lambda a: not any(x <= a < y for x, y in shut)

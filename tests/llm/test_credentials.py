@@ -76,3 +76,22 @@ GATED = [
 @pytest.mark.parametrize("text", GATED)
 def test_the_gate_passes_what_a_rule_finds(text):
     assert C._gate(text) and D.spans(text) and D.spans("first line\n" + text)
+
+
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    "body",
+    ["Comment: made for the old host\n" * 20 + "\n" + R * 2 + "\n", "\n".join(R[i : i + 8] for i in range(0, 32, 8)) + "\n" + "\n".join(R[i : i + 8] for i in range(0, 32, 8)) + "\n", "".join(f'    "{R[i : i + 12]}" +\n' for i in (0, 12, 20))],
+)
+@pytest.mark.parametrize("end", [END, ""])
+def test_keys_behind_long_headers_or_in_short_pieces(body, end):
+    text = "a\n" + BEGIN + body + end
+    assert [(text[:a].count("\n") + 1, k) for a, _, k in D.spans(text)] == [(2, "PRIVATE_KEY")] and R[:8] not in D.redact(text)
+
+
+@pytest.mark.parametrize("body", ["...\n", "the key\ngoes\nhere\n", "Put it there.\n" * 40 + "see internationalization and /usr/local/share/certificates\n"])
+@pytest.mark.parametrize("end", [END, ""])
+def test_a_header_that_is_only_named(body, end):
+    assert D.spans(BEGIN + body + end) == []
