@@ -1,11 +1,12 @@
 """Percentiles of very large numeric columns by merging centroid digests.
 
-A digest is a list of centroids (mean, weight, least, greatest) of sorted values. Neighbouring values share a centroid as long
-as the centroid spans at most one unit of the size function k(q) = (compression / 2 pi) * asin(2q - 1), so
-that centroids are small at the ends and a few thousandths of all rows in the middle. Every task digests its
-rows per group; digests of one group are merged by sorting their centroids and clustering again. Merging is
-done in two levels, so that no task receives the digests of all tasks. Digests are plain columns: they can be
-written per day and merged later.
+A digest is a set of centroids (mean, weight, least, greatest) of sorted values. Values share a centroid as
+long as it lies within one unit of the size function k(q) = (compression / 2 pi) * asin(2q - 1), so that
+centroids are small at the ends and a few thousandths of all rows in the middle. Every task digests its rows
+per finest group and merges these digests into those of the coarser groups that are asked for; digests of one
+group are merged by sorting their centroids and clustering again. All groups of a task are clustered at once,
+by array operations. Merging between tasks is done in two levels, so that no task receives the digests of all
+tasks. A centroid is a row of plain columns: digests can be written per day and merged later (``combine``).
 
 A second pass counts, for each group and wanted percentile, how many values lie below and up to the answer,
 so that each row of the result states its certified error in rank.
@@ -17,58 +18,66 @@ without a valid value has null percentiles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.sources.shared import settle
+
 COMPRESSION = 400
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 #: digests of one group are first merged in this many parts
 FAN_IN = 32
-DIGEST = "means array<double>, weights array<double>, mins array<double>, maxs array<double>, n long, n_invalid long"
+#: centroids and values a task holds before it clusters them, and that it holds at most after that
+HELD = 1 << 20
+#: columns of a centroid; in a row without a mean the weight is a number of invalid values
+CENTROID = ["mean", "weight", "least", "greatest"]
 Digest = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Values = Mapping[str, tuple[Column, float, float]]
 
 
-def cluster(d: Digest, compression: float = COMPRESSION) -> Digest:
-    """Centroids of centroids sorted by mean: neighbours join while they span at most one unit of k."""
-    means, weights, mins, maxs = d
-    n = len(means)
-    if n <= 2:
-        return d
-    total = weights.sum()
-    after = np.cumsum(weights)
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        q0 = min(max((after[i] - weights[i]) / total, 0.0), 1.0)
-        angle = np.arcsin(2 * q0 - 1) + 2 * np.pi / compression
-        limit = (np.sin(angle) + 1) / 2 * total if angle < np.pi / 2 else total
-        # at least one element, else all that end before the limit
-        i = max(i + 1, int(np.searchsorted(after, limit * (1 + 1e-12), side="right")))
-    s = np.array(starts)
-    w = np.add.reduceat(weights, s)
-    return np.add.reduceat(means * weights, s) / w, w, np.minimum.reduceat(mins, s), np.maximum.reduceat(maxs, s)
+def cluster(code: np.ndarray, d: Digest, compression: float = COMPRESSION) -> tuple[np.ndarray, Digest]:
+    """Centroids of every group ``code``, in the order of groups and means.
+
+    Equal values become one centroid first. Then neighbours join that lie within the same unit of k; one
+    that reaches into a second unit stays alone.
+    """
+    if not len(code):
+        return code, d
+    order = np.lexsort((d[2], d[0], code))
+    code, m, w, lo, hi = code[order], *(x[order] for x in d)
+    equal = (code[1:] == code[:-1]) & (lo[1:] == hi[:-1]) & (lo[1:] == lo[:-1]) & (hi[1:] == lo[1:])
+    s = np.flatnonzero(np.append(True, ~equal))
+    code, m, w, lo, hi = code[s], m[s], np.add.reduceat(w, s), lo[s], hi[s]
+    other = code[1:] != code[:-1]
+    first = np.flatnonzero(np.append(True, other))
+    size = np.diff(np.append(first, len(code)))
+    end = np.cumsum(w)
+    before = np.repeat(end[first] - w[first], size)
+    total = np.repeat(np.add.reduceat(w, first), size)
+    unit = lambda rank: compression / (2 * np.pi) * np.arcsin(np.clip(2 * rank / total - 1, -1, 1))
+    left, right = np.floor(unit(end - w - before) + 1e-9), np.ceil(unit(end - before) - 1e-9) - 1
+    whole = left >= right
+    s = np.flatnonzero(np.append(True, other | (left[1:] != left[:-1]) | ~whole[1:] | ~whole[:-1]))
+    weight = np.add.reduceat(w, s)
+    return code[s], (np.add.reduceat(m * w, s) / weight, weight, np.minimum.reduceat(lo, s), np.maximum.reduceat(hi, s))
 
 
 def digest(values: np.ndarray, compression: float = COMPRESSION) -> Digest:
     """Digest of finite ``values``."""
-    v, c = np.unique(values, return_counts=True)
-    return cluster((v, c.astype(float), v, v), compression)
-
-
-NOTHING: Digest = (np.zeros(0),) * 4
+    v = np.asarray(values, float)
+    return cluster(np.zeros(len(v), int), (v, np.ones(len(v)), v, v), compression)[1]
 
 
 def merged(parts: Sequence[Digest], compression: float = COMPRESSION) -> Digest:
     """One digest of several, by clustering their centroids again."""
     if not parts:
-        return NOTHING
-    m, w, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((lo, m))
-    return cluster((m[order], w[order], lo[order], hi[order]), compression)
+        return (np.zeros(0),) * 4
+    together = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return cluster(np.zeros(len(together[0]), int), together, compression)[1]
 
 
 def quantile(d: Digest, q: Sequence[float]) -> np.ndarray:
@@ -85,123 +94,257 @@ def quantile(d: Digest, q: Sequence[float]) -> np.ndarray:
     return np.interp(np.asarray(q) * end[-1], x, y)
 
 
-def _grouped(df: DataFrame, groups: Sequence[Column | str], values: dict[str, tuple[Column, float, float]]) -> tuple[DataFrame, list[str]]:
-    cols = [F.col(g) if isinstance(g, str) else g for g in groups]
-    names = [f"g{i}" for i in range(len(cols))]
-    return df.select(*[c.cast("string").alias(n) for c, n in zip(cols, names, strict=True)], *[c.cast("double").alias(f"v_{k}") for k, (c, _, _) in values.items()]), names
-
-
-def digests(df: DataFrame, groups: Sequence[Column | str], values: dict[str, tuple[Column, float, float]], compression: float = COMPRESSION) -> DataFrame:
-    """One digest per group and metric: (g0.., metric, means, weights, mins, maxs, n, n_invalid).
-
-    ``values``: metric name to (column, least valid value, greatest valid value).
-    """
-    rows, names = _grouped(df, groups, values)
+Sets = Mapping[str, Sequence[str]]
+
+
+class Held:
+    """Digests of many groups in one task; groups are numbered as they come."""
+
+    def __init__(self, keys: Sequence[str], compression: float):
+        self.keys, self.compression = list(keys), compression
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.codes: list[np.ndarray] = []
+        self.parts: list[Digest] = []
+        self.size = 0
+        self.invalid = np.zeros(0)
+
+    def numbers(self, keys: list[tuple]) -> np.ndarray:
+        """The numbers of ``keys``, new ones included."""
+        got = np.array([self.number.setdefault(k, len(self.number)) for k in keys], int)
+        if len(self.number) > len(self.invalid):
+            self.invalid = np.append(self.invalid, np.zeros(2 * len(self.number) - len(self.invalid)))
+        return got
+
+    def add(self, codes: np.ndarray, d: Digest) -> None:
+        self.codes.append(codes), self.parts.append(d)
+        self.size += len(codes)
+        if self.size > HELD:
+            self.squeeze()
+
+    def squeeze(self) -> tuple[np.ndarray, Digest]:
+        codes, d = (np.concatenate(self.codes), tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))) if self.codes else (np.zeros(0, int), (np.zeros(0),) * 4)
+        codes, d = cluster(codes, d, self.compression)
+        self.codes, self.parts, self.size = [codes], [d], len(codes)
+        return codes, d
+
+    def full(self) -> bool:
+        """Whether clustering no longer helps: there are too many groups to hold."""
+        return self.size > HELD // 2 and len(self.codes) == 1
+
+    def rolled(self, sets: Sets, groups: Sequence[str]) -> Held:
+        """Digests of coarser groups; the keys held are ``groups`` and one more, those made have the name of the set before them."""
+        codes, d = self.squeeze()
+        out = Held(["grouping", *self.keys], self.compression)
+        for name, kept in sets.items():
+            into = out.numbers([(name, *[x if g in kept else None for g, x in zip(groups, key, strict=False)], key[-1]) for key in self.number])
+            np.add.at(out.invalid, into, self.invalid[: len(into)])
+            out.add(into[codes], d)
+        self.clear()
+        return out
+
+    def rows(self) -> pd.DataFrame:
+        """A row per centroid, and one with the invalid values of each group that has any; empties the holder."""
+        codes, d = self.squeeze()
+        bad = np.flatnonzero(self.invalid)
+        codes, none = np.append(codes, bad), np.full(len(bad), np.nan)
+        out = self._named(codes)
+        for c, x, y in zip(CENTROID, d, (none, self.invalid[bad], none, none), strict=True):
+            out[c] = np.append(x, y)
+        self.clear()
+        return out
+
+    def estimates(self, quantiles: Sequence[float]) -> pd.DataFrame:
+        """A row per group with its numbers of values and its percentiles; empties the holder."""
+        codes, d = self.squeeze()
+        groups = np.arange(len(self.number))
+        cuts = np.searchsorted(codes, np.append(groups, len(groups)))
+        out = self._named(groups)
+        out["n"] = np.bincount(codes, d[1], len(groups)).astype(np.int64)
+        out["n_invalid"] = self.invalid[: len(groups)].astype(np.int64)
+        out["est"] = pd.Series([quantile(tuple(x[i:j] for x in d), quantiles) if i < j else None for i, j in zip(cuts[:-1], cuts[1:], strict=True)], dtype=object)
+        self.clear()
+        return out
+
+    def _named(self, codes: np.ndarray) -> pd.DataFrame:
+        names = list(self.number)
+        column = lambda i: np.fromiter((k[i] for k in names), object, len(names))
+        return pd.DataFrame({k: column(i)[codes] for i, k in enumerate(self.keys)}, index=range(len(codes)))
+
+    def put(self, b: pd.DataFrame) -> tuple:
+        """Adds rows of centroids; returns the key of the last."""
+        code, known = _runs(b, self.keys)
+        numbers = self.numbers(known)[code]
+        d = tuple(b[c].to_numpy(float) for c in CENTROID)
+        good = ~np.isnan(d[0])
+        np.add.at(self.invalid, numbers[~good], d[1][~good])
+        self.add(numbers[good], tuple(x[good] for x in d))
+        return known[code[-1]]
+
+    def keep(self, key: tuple) -> Held:
+        """Takes out all groups but ``key``."""
+        codes, d = self.squeeze()
+        mine, at = codes == (k := self.number[key]), self.invalid[self.number[key]]
+        done = Held(self.keys, self.compression)
+        if len(self.number) > 1:
+            names = [x for x in self.number if x != key]
+            into = done.numbers(names)
+            done.invalid[: len(into)] = np.delete(self.invalid[: len(self.number)], k)
+            done.add(codes[~mine] - (codes[~mine] > k), tuple(x[~mine] for x in d))
+        self.clear()
+        self.numbers([key])
+        self.invalid[0] = at
+        self.add(np.zeros(int(mine.sum()), int), tuple(x[mine] for x in d))
+        return done
+
+
+def _grouped(df: DataFrame, groups: Mapping[str, Column | str], values: Values) -> DataFrame:
+    """(g_<group>.. as strings, v_<metric>..)."""
+    cols = [(F.col(c) if isinstance(c, str) else c).cast("string").alias(f"g_{g}") for g, c in groups.items()]
+    return df.select(*cols, *[c.cast("double").alias(f"v_{k}") for k, (c, _, _) in values.items()])
+
+
+def _runs(b: pd.DataFrame, names: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
+    """Code of each row by its values of ``names``, and the values of each code; null is a value."""
+    code, tables = np.zeros(len(b), np.int64), []
+    for n in names:
+        c, u = pd.factorize(b[n])
+        u = np.append(np.array([None], object), np.asarray(u, object))
+        # codes stay small, whatever the number of columns
+        distinct, code = np.unique(code * len(u) + c + 1, return_inverse=True)
+        tables = [*(t[distinct // len(u)] for t in tables), u[distinct % len(u)]]
+    return code, list(zip(*tables, strict=True)) if names else [()]
+
+
+def _schema(keys: Sequence[str], estimates: bool = False) -> str:
+    return "".join(f"{k} string, " for k in keys) + ("n long, n_invalid long, est array<double>" if estimates else ", ".join(f"{c} double" for c in CENTROID))
+
+
+def _keys(groups: Mapping[str, Column | str]) -> list[str]:
+    return ["grouping", *[f"g_{g}" for g in groups], "metric"]
+
+
+def _parts(df: DataFrame, groups: Mapping[str, Column | str], values: Values, sets: Sets, compression: float) -> DataFrame:
+    """What each task has of the digests of every group."""
+    names = [f"g_{g}" for g in groups]
     bounds = {k: (lo, hi) for k, (_, lo, hi) in values.items()}
+    order = list(groups)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
+        held = Held([*names, "metric"], compression)
         for b in batches:
             if not len(b):
                 continue
-            codes, keys = np.zeros(len(b), int), [()]
-            if names:
-                codes = b.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
-                first = np.unique(codes, return_index=True)[1]
-                keys = list(b[names].iloc[first].itertuples(index=False, name=None))
-            order = np.argsort(codes, kind="stable")
-            ends = np.append(np.flatnonzero(np.diff(codes[order])) + 1, len(order))
+            code, keys = _runs(b, names)
             for k, (lo, hi) in bounds.items():
-                v = b[f"v_{k}"].to_numpy(float)[order]
-                at = 0
-                for end in ends:
-                    part = v[at:end]
-                    with np.errstate(invalid="ignore"):
-                        good = part[np.isfinite(part) & (part >= lo) & (part <= hi)]
-                    key = (*tuple(None if pd.isna(x) else x for x in keys[codes[order[at]]]), k)
-                    h = held.setdefault(key, [[], 0, 0])
-                    if len(good):
-                        h[0].append(digest(good, compression))
-                    h[1] += len(good)
-                    h[2] += len(part) - len(good)
-                    if len(h[0]) > 16:
-                        h[0] = [merged(h[0], compression)]
-                    at = end
-        if held:
-            yield _frame([(*key, *merged(h[0], compression), h[1], h[2]) for key, h in held.items()], [*names, "metric"])
-
-    schema = "".join(f"{n} string, " for n in names) + f"metric string, {DIGEST}"
-    part = rows.mapInPandas(local, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
-    return combine(combine(part, [*names, "metric", "salt"], compression), [*names, "metric"], compression)
-
-
-def _frame(rows: list[tuple], keys: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[*keys, "means", "weights", "mins", "maxs", "n", "n_invalid"])
+                numbers = held.numbers([(*key, k) for key in keys])
+                v = b[f"v_{k}"].to_numpy(float)
+                with np.errstate(invalid="ignore"):
+                    good = np.isfinite(v) & (v >= lo) & (v <= hi)
+                held.invalid[numbers] += np.bincount(code[~good], minlength=len(keys))
+                x = v[good]
+                held.add(numbers[code[good]], (x, np.ones(len(x)), x, x))
+            if held.full():
+                yield held.rolled(sets, order).rows()
+        yield held.rolled(sets, order).rows()
+
+    return _grouped(df, groups, values).mapInPandas(local, _schema(_keys(groups)))
+
+
+def digests(df: DataFrame, groups: Mapping[str, Column | str], values: Values, sets: Sets | None = None, compression: float = COMPRESSION) -> DataFrame:
+    """The centroids of every group and metric: (grouping, g_<group>.., metric, mean, weight, least, greatest).
+
+    ``values``: metric name to (column, least valid value, greatest valid value). ``sets``: name of a
+    grouping to the groups it keeps, the others are null in its rows; by default one, ``all``, that keeps
+    every group. Rows are digested once, by the finest groups.
+    """
+    return _together(_parts(df, groups, values, sets or {"all": tuple(groups)}, compression), _keys(groups), compression)
 
 
 def combine(parts: DataFrame, keys: Sequence[str], compression: float = COMPRESSION) -> DataFrame:
-    """Digests of ``parts`` merged per ``keys``: from partitions, days or any coarser group.
+    """Digests of ``parts`` merged per ``keys``: from partitions, days or any finer group.
 
-    Parts of a group come one after the other in a sorted partition, so a task holds those of one group.
+    What a task has of a group is merged before it is sent.
     """
-    order = [*[k for k in keys if k != "salt"], *(["salt"] if "salt" in keys else [])]
-    kept = [k for k in order if k != "salt"]
-    arrays = ["means", "weights", "mins", "maxs"]
+    return _together(_merged_here(parts, keys, compression), keys, compression)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, n, bad = None, [], 0, 0
+
+def estimates(parts: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = QUANTILES, compression: float = COMPRESSION) -> DataFrame:
+    """``combine``, and of each digest one row: (keys.., n, n_invalid, est), the values at ``quantiles`` in their order."""
+    return _together(_merged_here(parts, keys, compression), keys, compression, list(quantiles))
+
+
+def _merged_here(parts: DataFrame, keys: Sequence[str], compression: float) -> DataFrame:
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Held(keys, compression)
         for b in batches:
-            done = []
-            names = zip(*[[None if pd.isna(x) else x for x in b[k]] for k in order], strict=True) if order else iter([()] * len(b))
-            for now, digest_, some, invalid in zip(names, zip(*[b[a] for a in arrays], strict=True), b.n, b.n_invalid, strict=True):
-                if key is not None and now != key:
-                    done.append((*key[: len(kept)], *merged(held, compression), n, bad))
-                    held, n, bad = [], 0, 0
-                key, n, bad = now, n + int(some), bad + int(invalid)
-                if some:
-                    held.append(tuple(np.asarray(a, float) for a in digest_))
-                if len(held) > 64:
-                    held = [merged(held, compression)]
-            if done:
-                yield _frame(done, kept)
-        if key is not None:
-            yield _frame([(*key[: len(kept)], *merged(held, compression), n, bad)], kept)
+            if len(b):
+                held.put(b)
+                if held.full():
+                    yield held.rows()
+        yield held.rows()
+
+    return parts.select(*keys, *CENTROID).mapInPandas(local, _schema(keys))
+
+
+def _together(parts: DataFrame, keys: Sequence[str], compression: float, quantiles: list[float] | None = None) -> DataFrame:
+    """The digests of groups from what tasks made of them: first those of a share of the tasks, then all.
 
-    columns = [*order, *arrays, "n", "n_invalid"]
-    together = parts.select(*columns).repartition(*order).sortWithinPartitions(*order) if order else parts.select(*columns).coalesce(1)
-    return together.mapInPandas(run, "".join(f"{k} string, " for k in kept) + DIGEST)
+    Where at most FAN_IN tasks made them, the second step alone does.
+    """
+    if parts.rdd.getNumPartitions() > FAN_IN:
+        parts = _merge(parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).cast("string")), [*keys, "salt"], compression).drop("salt")
+    return _merge(parts, keys, compression, quantiles)
+
+
+def _merge(parts: DataFrame, keys: Sequence[str], compression: float, quantiles: list[float] | None = None) -> DataFrame:
+    """Digests by ``keys``, or their estimates. Parts of a group follow each other, so a task holds one batch and one group."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Held(keys, compression)
+        shown = (lambda h: h.rows()) if quantiles is None else (lambda h: h.estimates(quantiles))
+        for b in batches:
+            if len(b):
+                yield shown(held.keep(held.put(b)))  # all groups but the last are complete
+        yield shown(held)
 
-def estimates(d: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """One row per digest with ``est``, the values at ``quantiles`` in their order."""
-    qs = list(quantiles)
+    columns = [*keys, *CENTROID]
+    near = parts.select(*columns).repartition(*keys).sortWithinPartitions(*keys) if keys else parts.select(*columns).coalesce(1)
+    return near.mapInPandas(run, _schema(keys, quantiles is not None))
 
-    @F.pandas_udf("array<double>")
-    def at(m: pd.Series, w: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        return pd.Series([quantile(tuple(np.asarray(x, float) for x in row), qs) if len(row[0]) else None for row in zip(m, w, lo, hi, strict=True)], dtype=object)
 
-    return d.select(*keys, "n", "n_invalid", at("means", "weights", "mins", "maxs").alias("est"))
+def _exploded(df: DataFrame, groups: Sequence[str], sets: Sets, *others: str) -> DataFrame:
+    """A row per row of ``df`` and grouping, with null in the groups that the grouping leaves out."""
+    one = [F.struct(F.lit(name).alias("grouping"), *[(F.col(f"g_{g}") if g in kept else F.lit(None).cast("string")).alias(f"g_{g}") for g in groups]) for name, kept in sets.items()]
+    return df.withColumn("set", F.explode(F.array(*one))).select("set.*", *others)
 
 
-#: groups up to which the estimates are broadcast to the counting pass; beyond, they are joined by shuffle
-BROADCAST_GROUPS = 20_000
+#: groups up to which the estimates are broadcast to the counting pass, about 250 bytes each; beyond, rows
+#: and estimates meet by a shuffle in which every group is split into SALTS parts
+BROADCAST_GROUPS, SALTS = 100_000, 32
 
 
-def certified(df: DataFrame, groups: Sequence[Column | str], values: dict[str, tuple[Column, float, float]], names: Sequence[str], quantiles: Sequence[float] = QUANTILES, compression: float = COMPRESSION) -> DataFrame:
-    """(names.., metric, q, value, n, n_invalid, n_below, n_upto, rank_error): percentiles with certified errors.
+def certified(df: DataFrame, groups: Mapping[str, Column | str], values: Values, sets: Sets | None = None, quantiles: Sequence[float] = QUANTILES, compression: float = COMPRESSION, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """(grouping, <group>.., metric, q, value, n, n_invalid, n_below, n_upto, rank_error): percentiles with certified errors.
 
-    ``rank_error`` is how far q lies outside the interval of ranks that hold ``value``, as a share of n.
+    ``values`` and ``sets``: see ``digests``. ``rank_error`` is how far q lies outside the interval of ranks
+    that hold ``value``, as a share of n.
     """
-    from sievework.sources.shared import settle
-
-    rows, keys = _grouped(df, groups, values)
-    est = settle(estimates(digests(df, groups, values, compression), [*keys, "metric"], quantiles))
+    sets, names = sets or {"all": tuple(groups)}, _keys(groups)
+    keys = names[:-1]
+    est = settle(_together(_parts(df, groups, values, sets, compression), names, compression, list(quantiles)))
     wide = est.groupBy(*keys).agg(*[F.first(F.when(F.col("metric") == k, F.col("est")), ignorenulls=True).alias(f"e_{k}") for k in values])
-    if wide.count() <= BROADCAST_GROUPS:  # a row per group; its size is checked here
-        wide = F.broadcast(wide)
+    few = wide.count() <= broadcast_groups  # a row per group; its size is checked here
     wide = wide.select(*[F.col(k).alias(f"w_{k}") for k in keys], *[f"e_{k}" for k in values])
+    rows = _exploded(_grouped(df, groups, values), list(groups), sets, *[f"v_{k}" for k in values])
     on = [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys]
-    joined = rows.join(wide, on, "inner") if keys else rows.crossJoin(wide)  # without groups: one row
+    if few:
+        joined = rows.join(F.broadcast(wide), on, "inner")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(*[f"v_{k}" for k in values], F.monotonically_increasing_id()), F.lit(SALTS)))
+        joined = rows.join(wide.withColumn("w_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*on, F.col("salt") == F.col("w_salt")], "inner")
     counts = []
     for k, (_, lo, hi) in values.items():
         v = F.when(~F.isnan(f"v_{k}") & F.col(f"v_{k}").between(F.lit(max(lo, -1e308)), F.lit(min(hi, 1e308))), F.col(f"v_{k}"))
@@ -215,4 +358,4 @@ def certified(df: DataFrame, groups: Sequence[Column | str], values: dict[str, t
     n = F.col("n").cast("double")
     out = est.join(long, match, "inner").withColumn("value", F.col("est")[F.col("i")])
     error = F.greatest(F.lit(0.0), F.col("n_below") / n - F.col("q"), F.col("q") - F.col("n_upto") / n)
-    return out.select(*[F.col(k).alias(x) for k, x in zip(keys, names, strict=True)], est["metric"], "q", "value", "n", "n_invalid", "n_below", "n_upto", F.when(F.col("n") > 0, error).alias("rank_error"))
+    return out.select("grouping", *[F.col(f"g_{g}").alias(g) for g in groups], est["metric"], "q", "value", "n", "n_invalid", "n_below", "n_upto", F.when(F.col("n") > 0, error).alias("rank_error"))

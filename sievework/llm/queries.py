@@ -23,41 +23,57 @@ def _decision():
     return F.when(d == "ok", "allow").when(d == "masked", "sanitize").otherwise(d)
 
 
-def _day():
-    return F.coalesce(F.expr("try_to_timestamp(entry_ts)"), F.col("received_at")).cast("date")
+def _at():
+    """When an entry was made, or where that isn't stated, when it arrived."""
+    return F.coalesce(F.expr("try_to_timestamp(entry_ts)"), F.col("received_at"))
 
 
 #: a latency is at least 0; a score lies between 0 and 1
 METRICS = {"latency_ms": (F.col, 0.0, INF), "risk_score": (F.col, 0.0, 1.0)}
+#: groupings of the entries, and what each keeps of the finest groups
+GROUPINGS = {"all": (), "decision": ("decision",), "decision_day": ("decision", "day"), "decision_hour": ("decision", "day", "hour"), "decision_backend": ("decision", "backend_used")}
 
 
 def _metrics():
     return {k: (make(k), lo, hi) for k, (make, lo, hi) in METRICS.items()}
 
 
+def _groups():
+    return {"decision": _decision(), "day": F.to_date(_at()), "hour": F.hour(_at()), "backend_used": F.col("backend_used")}
+
+
 def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of latency and score per decision and day, each with its certified rank error."""
-    return percentiles.certified(table(spark, sf, "audit_entries"), [_decision(), _day()], _metrics(), ["decision", "day"])
+    """Percentiles of latency and score per decision, also per day, hour of a day, use of the backend and type of finding, and over all entries.
+
+    Each row states its certified rank error. An entry counts once for each type among its findings; one
+    without findings has a null type.
+    """
+    entries = table(spark, sf, "audit_entries")
+    a = percentiles.certified(entries, _groups(), _metrics(), GROUPINGS).withColumn("finding_type", F.lit(None).cast("string"))
+    types = F.array_distinct(F.transform("findings", lambda f: f["finding_type"]))
+    each = entries.select("decision", "latency_ms", "risk_score", F.explode_outer(types).alias("finding_type"))
+    b = percentiles.certified(each, {"decision": _decision(), "finding_type": "finding_type"}, _metrics(), {"decision_type": ("decision", "finding_type")})
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 def p1_by_decision(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles per decision, certified."""
-    return percentiles.certified(table(spark, sf, "audit_entries"), [_decision()], _metrics(), ["decision"])
+    return percentiles.certified(table(spark, sf, "audit_entries"), {"decision": _decision()}, _metrics()).drop("grouping")
 
 
 def p1_combined(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles per decision from the digests of days, combined afterwards."""
-    days = percentiles.digests(table(spark, sf, "audit_entries"), [_decision(), _day()], _metrics())
-    d = percentiles.combine(days, ["g0", "metric"])
-    e = percentiles.estimates(d, ["g0", "metric"])
+    days = percentiles.digests(table(spark, sf, "audit_entries"), {"decision": _decision(), "day": F.to_date(_at())}, _metrics())
+    e = percentiles.estimates(days, ["g_decision", "metric"])
     qs = F.array(*[F.lit(q) for q in percentiles.QUANTILES])
-    return e.select(F.col("g0").alias("decision"), "metric", "n", "n_invalid", F.explode(F.arrays_zip(qs.alias("q"), F.col("est").alias("value"))).alias("x")).select("decision", "metric", "x.q", "x.value", "n", "n_invalid")
+    return e.select(F.col("g_decision").alias("decision"), "metric", "n", "n_invalid", F.explode(F.arrays_zip(qs.alias("q"), F.col("est").alias("value"))).alias("x")).select("decision", "metric", "x.q", "x.value", "n", "n_invalid")
 
 
 def p1_within_bound(spark: SparkSession, sf: str) -> DataFrame:
-    """Per decision and metric: valid and invalid values, and whether every percentile lies within 1 % of its rank."""
-    c = p1_by_decision(spark, sf)
-    return c.groupBy("decision", "metric").agg(F.first("n").alias("n"), F.first("n_invalid").alias("n_invalid"), F.coalesce(F.max("rank_error") <= 0.01, F.lit(True)).alias("within_bound"))
+    """Per group of every grouping, and metric: valid and invalid values, and whether every percentile lies within 1 % of its rank."""
+    c = p1_percentiles(spark, sf)
+    by = ["grouping", "decision", "day", "hour", "backend_used", "finding_type", "metric"]
+    return c.groupBy(*by).agg(F.first("n").alias("n"), F.first("n_invalid").alias("n_invalid"), F.coalesce(F.max("rank_error") <= 0.01, F.lit(True)).alias("within_bound"))
 
 
 # ------------------------------------------------------------------------------------------ 2 credentials
@@ -186,13 +202,20 @@ def queries() -> dict:
     return {f.__name__: f for f in names}
 
 
-def oracle_sql() -> dict[str, str]:
+def _bounds_sql() -> str:
     norm = "CASE lower(trim(decision, ' ')) WHEN 'ok' THEN 'allow' WHEN 'masked' THEN 'sanitize' ELSE lower(trim(decision, ' ')) END"
-    return {
-        "p1_within_bound": f"""
-            WITH e AS (SELECT {norm} AS decision, latency_ms::DOUBLE AS l, risk_score AS r FROM audit_entries)
-            SELECT decision, 'latency_ms' AS metric, count(*) FILTER (l >= 0) AS n, count(*) - count(*) FILTER (l >= 0) AS n_invalid, true AS within_bound FROM e GROUP BY decision
-            UNION ALL
-            SELECT decision, 'risk_score', count(*) FILTER (r >= 0 AND r <= 1), count(*) - count(*) FILTER (r >= 0 AND r <= 1), true FROM e GROUP BY decision
-        """,
-    }
+    names, valid = ("decision", "day", "hour", "backend_used", "finding_type"), {"latency_ms": "l >= 0", "risk_score": "r >= 0 AND r <= 1"}
+    parts = []
+    for grouping, kept in {**GROUPINGS, "decision_type": ("decision", "finding_type")}.items():
+        for metric, ok in valid.items():
+            cols = ", ".join(n if n in kept else f"NULL::VARCHAR AS {n}" for n in names)
+            by = f" GROUP BY {', '.join(kept)}" if kept else ""
+            parts.append(f"SELECT '{grouping}' AS grouping, {cols}, '{metric}' AS metric, count(*) FILTER ({ok}) AS n, count(*) - count(*) FILTER ({ok}) AS n_invalid, true AS within_bound FROM {'t' if 'finding_type' in kept else 'e'}{by}")
+    return f"""WITH a AS (SELECT entry_id, {norm} AS decision, coalesce(try_cast(entry_ts AS TIMESTAMPTZ), received_at::TIMESTAMPTZ) AT TIME ZONE 'UTC' AS ts, backend_used::VARCHAR AS backend_used, latency_ms::DOUBLE AS l, risk_score AS r, findings FROM audit_entries),
+        e AS (SELECT decision, ts::DATE::VARCHAR AS day, hour(ts)::VARCHAR AS hour, backend_used, l, r FROM a),
+        t AS (SELECT DISTINCT entry_id, decision, l, r, unnest(CASE WHEN len(findings) > 0 THEN list_transform(findings, lambda f: f.finding_type) ELSE [NULL::VARCHAR] END) AS finding_type FROM a)
+        {' UNION ALL '.join(parts)}"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p1_within_bound": _bounds_sql()}
