@@ -109,8 +109,9 @@ STATED = re.compile(r"(?:[:>/=]|\b(?:lautet|ist|es|is|to|pass|est|son))\s+[\"'`]
 DIGEST_TALK = re.compile(r"(?i)\b(?:sha-?\d*|md5(?:sum)?|etag|digest|checksum|integrity|commit|trace-?id|x-request-id|request-id|fingerprint|revision|build|docker|ssh-(?:rsa|ed25519|dss)|ecdsa-sha2\S*|data:image|public[_ -]?key|uuid|guid)\b|^\s*id\b")
 PLACEHOLDER = re.compile(r"(?i)(?:x{5,}|\*{3,}|\.{3,}|…|_{4,}|0{8,}|(?<![a-z0-9])(?:your|my|the|some|insert|replace|change)[_ -]|redacted|(?<![a-z0-9])(?:masked|placeholder|dummy|todo)(?![a-z0-9])|example[_-]?(?:key|token|secret)|EXAMPLE$|<[^>]*>|\[[^\]]*\]|\{[^}]*\}|\$[A-Za-z_{(]|%[A-Za-z_]+%)")
 REFERENCE = re.compile(r"(?i)^(?:(?:os|process|sys|env|config|settings|secrets?|vault|self|this|ctx|ctrl|data|app|params?|request|getpass|random|crypto|jwt|ENV)[.\[(]|\w+\(|[\w.]+\[|/|\./|~/|file:|env:|vault:|arn:|kv/|none$|null$|nil$|true$|false$|undefined$|str$|string$|int$|bytes$|https?://[^?&]*$)")
-HEX = re.compile(r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$")
-UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+#: formats of digests and ids
+HASH_FORMS = "[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+HASH = re.compile(rf"(?i)^(?:{HASH_FORMS})$")
 DIGEST = re.compile(r"^(?:sha\d+[-:]|md5[-:])")
 #: a text or line without any of these, in lower case, and without a match of SHORT, holds nothing that is looked for
 SIGNS = (
@@ -125,18 +126,22 @@ SIGNS = (
 #: signs that are part of many words, with what must stand around them; one of SHORT_IN is in each
 SHORT = re.compile(r"(?<![a-z])pin(?![a-z])|(?:bot|(?<![a-z])sk|(?<![a-z])sig)[\"'\]]*\s*(?:->|[:=])|(?<![a-z0-9])sk[0-9a-f]{32}|\s--user")
 SHORT_IN = ("pin", "bot", "sk", "sig", "--user")
+#: a long literal behind a name that doesn't say what it is
+UNNAMED = re.compile(r"[:=>]\s*[\"'`]?[^\s\"'`,;<>(){}\[\]&]{20}")
 
 
 def _gate(text: str) -> bool:
     low = text.lower()
-    return any(x in low for x in SIGNS) or any(x in low for x in SHORT_IN) and bool(SHORT.search(low))
+    return any(x in low for x in SIGNS) or any(x in low for x in SHORT_IN) and bool(SHORT.search(low)) or bool(UNNAMED.search(text))
 
 
 class Detector:
     """Finds credentials in texts; holds the dictionary and a cache of judged literals."""
 
     #: residuals from which a literal counts, by strength of its context
-    PASSWORD_RESIDUAL, SECRET_RESIDUAL, TALK_RESIDUAL, LONE_RESIDUAL = 2, 12, 12, 14
+    PASSWORD_RESIDUAL, SECRET_RESIDUAL, TALK_RESIDUAL, LONE_RESIDUAL, UNNAMED_RESIDUAL = 2, 12, 12, 14, 20
+    #: longer literals without a telling name are data of some kind
+    LONGEST_UNNAMED = 200
 
     def __init__(self, words: dict[str, float]):
         self.seg = Segmenter(words)
@@ -157,8 +162,6 @@ class Detector:
         if not self.is_value(v) or len(v) < 7 or DIGEST.match(v):
             return False
         letters, digits, other = sum(c.isalpha() for c in v), sum(c.isdigit() for c in v), sum(not c.isalnum() for c in v)
-        if "/" in v and not digits or v.count(":") > 1:
-            return False
         if digits and letters:
             return self.seg.residual(v) >= self.PASSWORD_RESIDUAL
         return self.seg.residual(v) >= (5 if self.irregular(v) else 7) or bool(letters and other >= 1 and re.search(r"[!#$%&*?^]", v))
@@ -166,15 +169,13 @@ class Detector:
     def secret(self, v: str, least: int | None = None) -> bool:
         if not self.is_value(v) or DIGEST.match(v):
             return False
-        if HEX.match(v) or UUID.match(v):
-            return True
-        if v.count("/") > 3 and not re.search(r"[A-Z].*\d|\d.*[A-Z]", v):
-            return False
-        if re.fullmatch(r"[a-z]+(?:[-_.:][a-z0-9]+)*", v) and not re.search(r"\d.*[a-z].*\d", v):
-            return False
         least = least or self.SECRET_RESIDUAL
         return len(v) >= 12 and self.seg.residual(v) >= (least / 2 if self.irregular(v) else least)
 
+    def unnamed(self, v: str) -> bool:
+        """A literal whose name doesn't say what it is: only its residual speaks for it."""
+        return 20 <= len(v) <= self.LONGEST_UNNAMED and self.is_value(v) and not DIGEST.match(v) and not HASH.match(v) and self.seg.residual(v) >= self.UNNAMED_RESIDUAL
+
     def encoded(self, v: str) -> bool:
         """Base64 that decodes to printable text of a password's shape."""
         import base64
@@ -189,19 +190,13 @@ class Detector:
         """A literal that stands alone as a text: already cut out by some validator."""
         if not self.is_value(v) or "@" in v or len(v) < 9 or re.search(r"[\"'<>()]|^data:", v):
             return False
-        if HEX.match(v) or UUID.match(v):
-            return True
-        if re.fullmatch(r"[A-Z0-9.\s/-]+", v) or re.fullmatch(r"[\d\s().+-]+", v):
-            return False
+        if HASH.match(v):
+            return False  # nothing says that it is more than a digest or an id
         if self.encoded(v):
             return True
-        if re.fullmatch(r"(?:\w+-)*\w+\.(?:png|jpe?g|svg|gif|html?|txt|py|js)", v):
-            return False
         if re.search(r"\d", v) and re.search(r"[a-z]", v):
             return self.seg.residual(v) >= self.PASSWORD_RESIDUAL and not re.search(r"[/\\:.]", v) or self.seg.residual(v) >= self.LONE_RESIDUAL
-        if re.fullmatch(r"[a-z]{7,}[!#$%&*?]", v):
-            return v[:-1] not in self.seg.words
-        return self.seg.residual(v) >= (5 if self.irregular(v) else 16)
+        return self.seg.residual(v) >= (5 if self.irregular(v) else 7 if re.search(r"[!#$%&*?^]", v) else 16)
 
     def material(self, body: str) -> bool:
         """Whether a key stands between the BEGIN line and the END line, or the end of the text."""
@@ -283,7 +278,12 @@ class Detector:
         for m in ASSIGN.finditer(line):
             key, raw = m["key"], m["val"]
             password = PASSWORD_NAME.search(key)
-            if not password and not SECRET_NAME.search(key) or NOT_SECRET_NAME.search(key):
+            if NOT_SECRET_NAME.search(key):
+                continue
+            if not password and not SECRET_NAME.search(key):
+                v = raw.strip("\"'`")
+                if self.unnamed(v) and not DIGEST_TALK.search(line):
+                    out.append((i := m.start("val") + (raw[:1] in "\"'`"), i + len(v), "SECRET"))
                 continue
             if raw in ("|", ">", ">-", "|-", '"""', "'''"):
                 waits = "PASSWORD" if password else "SECRET"
@@ -314,14 +314,14 @@ class Detector:
                 stated = hint and (self.irregular(v) or re.fullmatch(r"[a-z]{7,}[!#$%&*?]", v) and STATED.search(line[: m.start()]))
                 if not re.search(r"\d", v) and not stated or not re.search(r"[A-Za-z]", v) or "://" in v or re.search(r"@|\\|\w\.\w+\.|^[\w-]+\.[a-z]{2,5}$", v):
                     continue
-                if re.search(r"[a-z]", v) and (hint and self.password(v) or self.secret(v, self.TALK_RESIDUAL)) and (hint or not re.fullmatch(r"[a-z]+[-_][\w-]+|#\w+", v)):
+                if re.search(r"[a-z]", v) and (hint and self.password(v) or self.secret(v, self.TALK_RESIDUAL)):
                     out.append((m.start(), m.start() + len(v), "PASSWORD" if hint else "SECRET"))
         return out, waits
 
-    def redact(self, text: str, alone: bool = False) -> str:
-        """``text`` with each credential replaced by a placeholder; quotes, names and line ends stay."""
+    def redact(self, text: str, alone: bool = False, spans: list[tuple[int, int, str]] | None = None) -> str:
+        """``text`` with each credential (those of ``spans``, if given) replaced by a placeholder; quotes, names and line ends stay."""
         parts, last = [], 0
-        for a, b, kind in self.spans(text, alone):
+        for a, b, kind in self.spans(text, alone) if spans is None else spans:
             body = text[a:b]
             # lines of a key keep their number, so that line numbers of the code after it don't move
             parts += [text[last:a], f"[REDACTED-{kind.replace('_', '-')}]" + "\n" * body.count("\n")]
@@ -342,6 +342,10 @@ def detector(path: str = VOCABULARY) -> Detector:
 SPAN = "array<struct<start:int,length:int,line_no:int,kind:string>>"
 
 
+def _structs(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
+    return [{"start": a, "length": b - a, "line_no": text.count("\n", 0, a) + 1, "kind": k} for a, b, k in spans]
+
+
 def found(alone: bool = False, path: str = VOCABULARY):
     """A Column function: the credentials of a text column as an array of spans (code points from 0)."""
 
@@ -350,7 +354,7 @@ def found(alone: bool = False, path: str = VOCABULARY):
         d = detector(path)
         for s in batches:
             codes, values = pd.factorize(s)
-            rows = [[{"start": a, "length": b - a, "line_no": v.count("\n", 0, a) + 1, "kind": k} for a, b, k in d.spans(v, alone)] for v in values]
+            rows = [_structs(v, d.spans(v, alone)) for v in values]
             yield pd.Series([rows[c] if c >= 0 else [] for c in codes], index=s.index)
 
     return apply
@@ -370,9 +374,47 @@ def redacted(alone: bool = False, path: str = VOCABULARY):
     return apply
 
 
-def credential_lines(df: DataFrame, id_col: str, column: str, alone: bool = False, path: str = VOCABULARY) -> DataFrame:
+def redacted_with_spans(alone: bool = False, path: str = VOCABULARY):
+    """A Column function: ``struct<redacted, spans>`` of a text column, by one search."""
+
+    @F.pandas_udf(f"struct<redacted:string,spans:{SPAN}>")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        d = detector(path)
+        for s in batches:
+            codes, values = pd.factorize(s)
+            got = [d.spans(v, alone) for v in values]
+            done = [(d.redact(v, alone, x), _structs(v, x)) for v, x in zip(values, got, strict=True)] + [(None, [])]  # code -1 is null
+            yield pd.DataFrame([done[c] for c in codes], columns=["redacted", "spans"], index=s.index)
+
+    return apply
+
+
+def spans_of(df: DataFrame, id_col: str, column: str, alone: bool = False, path: str = VOCABULARY) -> DataFrame:
+    """(rec_id, spans): the credentials of every text."""
+    return df.select(F.col(id_col).alias("rec_id"), found(alone, path)(F.col(column)).alias("spans"))
+
+
+def lines(spans: DataFrame, alone: bool = False) -> DataFrame:
     """(rec_id, line_no), distinct: the lines on which a credential begins; with ``alone`` always line 1."""
-    spans = df.select(F.col(id_col).alias("rec_id"), found(alone, path)(F.col(column)).alias("spans"))
     # a text holds its lines once, so the distinct needs no shuffle; the outer form keeps the optimiser from
     # testing for empty arrays first, which would run the detector twice
     return spans.select("rec_id", F.explode_outer(F.array_distinct(F.transform("spans", lambda x: F.lit(1) if alone else x["line_no"]))).alias("line_no")).where("line_no is not null")
+
+
+def credential_lines(df: DataFrame, id_col: str, column: str, alone: bool = False, path: str = VOCABULARY) -> DataFrame:
+    """``lines`` of the texts of ``df``."""
+    return lines(spans_of(df, id_col, column, alone, path), alone)
+
+
+def named_in_text(matches: DataFrame, spans: DataFrame, id_col: str = "finding_id", text_id: str = "request_id", match: str = "match_text") -> DataFrame:
+    """(rec_id), distinct: matches in the form of a digest or id which the text around them makes credentials.
+
+    A match cut out of its text has lost the name in front of it. ``matches``: (``id_col``, ``text_id``,
+    ``match``, match_position, match_length) with positions in the text; ``spans``: (rec_id, spans) of the
+    texts, at most one row per text. A match is a credential if a credential of the text overlaps its place.
+    Only ids and places are shuffled. Null places and texts that aren't there give nothing.
+    """
+    like = matches.where(F.trim(match).rlike(rf"(?i)^(?:{HASH_FORMS})$")).select(F.col(id_col).alias("m"), F.col(text_id).alias("rec_id"), F.col("match_position").alias("a"), (F.col("match_position") + F.col("match_length")).alias("b"))
+    places = spans.select("rec_id", F.transform("spans", lambda x: F.struct(x["start"].alias("a"), (x["start"] + x["length"]).alias("b"))).alias("places")).where(F.size("places") > 0)
+    both = like.join(places, "rec_id")
+    return both.where(F.exists("places", lambda x: (x["a"] < F.col("b")) & (F.col("a") < x["b"]))).select(F.col("m").alias("rec_id"))

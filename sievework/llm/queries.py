@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import abuse, credentials, lookalike, mixing, packing, percentiles, personal, quality, tokens
+from sievework.sources.shared import settle
 from sievework.sources.tables import spread, table
 
 INF = float("inf")
@@ -77,19 +78,32 @@ def p1_within_bound(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------ 2 credentials
+_MATCHES = ("finding_id", "request_id", "match_text", "match_position", "match_length")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines on which a credential begins, in requests and in findings."""
-    r = credentials.credential_lines(texts(spark, sf, "validate_requests", "request_id", "llm_output"), "request_id", "llm_output")
-    f = credentials.credential_lines(texts(spark, sf, "findings", "finding_id", "match_text"), "finding_id", "match_text", alone=True)
+    """Lines on which a credential begins, in requests and in findings.
+
+    A finding in the form of a digest is one only if its request has a credential at its place.
+    """
+    spans = settle(credentials.spans_of(texts(spark, sf, "validate_requests", "request_id", "llm_output"), "request_id", "llm_output"))
+    matches = texts(spark, sf, "findings", *_MATCHES)
+    f = credentials.credential_lines(matches, "finding_id", "match_text", alone=True)
+    named = credentials.named_in_text(matches, spans).withColumn("line_no", F.lit(1))
     one = lambda d, t: d.select(F.lit(t).alias("src_table"), "rec_id", "line_no")
-    return one(r, "validate_requests").unionByName(one(f, "findings"))
+    return one(credentials.lines(spans), "validate_requests").unionByName(one(f, "findings")).unionByName(one(named, "findings"))
 
 
 def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every request and every match of a finding with its credentials replaced by placeholders."""
-    r = texts(spark, sf, "validate_requests", "request_id", "llm_output").select(F.lit("validate_requests").alias("src_table"), F.col("request_id").alias("rec_id"), credentials.redacted()(F.col("llm_output")).alias("redacted"))
-    f = texts(spark, sf, "findings", "finding_id", "match_text").select(F.lit("findings").alias("src_table"), F.col("finding_id").alias("rec_id"), credentials.redacted(alone=True)(F.col("match_text")).alias("redacted"))
-    return r.unionByName(f)
+    requests = texts(spark, sf, "validate_requests", "request_id", "llm_output")
+    done = settle(requests.select(F.col("request_id").alias("rec_id"), credentials.redacted_with_spans()(F.col("llm_output")).alias("x")).select("rec_id", "x.*"))
+    matches = texts(spark, sf, "findings", *_MATCHES)
+    f = matches.select(F.col("finding_id").alias("rec_id"), credentials.redacted(alone=True)(F.col("match_text")).alias("redacted"))
+    named = credentials.named_in_text(matches, done).withColumn("named", F.lit(True))
+    f = f.join(named, "rec_id", "left").select("rec_id", F.when(F.col("named"), F.lit("[REDACTED-SECRET]")).otherwise(F.col("redacted")).alias("redacted"))
+    one = lambda d, t: d.select(F.lit(t).alias("src_table"), "rec_id", "redacted")
+    return one(done, "validate_requests").unionByName(one(f, "findings"))
 
 
 # ------------------------------------------------------------------------------------------------ 3 abuse

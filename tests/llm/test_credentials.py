@@ -46,8 +46,9 @@ def test_segmentation():
 
 
 def test_alone():
-    assert D.spans("tundra$9001", True) and D.spans("SECRET=saffronorchid737", True) and D.spans("2149c3149f899946ef9adc65c0427bf6", True)
-    for t in ("md5sum: 9acc779c5b5f534ee0312c542027b38b", "gith*******", "tracking 1Z124010232", "Katrin Primgaard", "a.b@example.org"):
+    assert D.spans("tundra$9001", True) and D.spans("SECRET=saffronorchid737", True) and D.spans("auth_token: 2149c3149f899946ef9adc65c0427bf6", True)
+    # of a digest or id alone nothing says that it is a secret
+    for t in ("2149c3149f899946ef9adc65c0427bf6", "3f7d530714c1d88cb440b8a43ae52879e5645c9c9045721a18777ef94b0b0d99", "b0187435-ecbf-6978-856b-1dbd6488531c", "md5sum: 9acc779c5b5f534ee0312c542027b38b", "gith*******", "tracking 1Z124010232", "Katrin Primgaard", "a.b@example.org"):
         assert not D.spans(t, True)
 
 
@@ -95,3 +96,30 @@ def test_keys_behind_long_headers_or_in_short_pieces(body, end):
 @pytest.mark.parametrize("end", [END, ""])
 def test_a_header_that_is_only_named(body, end):
     assert D.spans(BEGIN + body + end) == []
+
+
+def test_a_digest_is_a_credential_where_the_text_names_it(spark):
+    h = "2149c3149f899946ef9adc65c0427bf6"
+    texts = [(1, f"x\nAUTH_TOKEN = '{h}'"), (2, f"md5: {h}"), (3, None)]
+    spans = C.spans_of(spark.createDataFrame(texts, "request_id long, t string"), "request_id", "t")
+    place = {1: 16, 2: 5, 3: 0}
+    rows = [(k, r, h, place[r], 32) for k, r in enumerate((1, 1, 2, 3))] + [(7, 9, h, 0, 32), (8, None, h, 0, 32), (9, 1, h, None, None), (10, 1, "AUTH_TOKEN", 2, 10), (11, 1, None, 16, 32), (12, 1, h, 0, 3)]
+    found = spark.createDataFrame(rows, "finding_id long, request_id long, match_text string, match_position int, match_length int")
+    assert sorted(r["rec_id"] for r in C.named_in_text(found, spans).collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("text,found", [(f"relay: '{R}{R}'", True), (f"relay: '{R * 8}'", False), ("relay: '/usr/share/local/certificates'", False), ("label = 'internationalizationframework'", False), ("etag: " + R, False), ("rev = 3f7d530714c1d88cb440b8a43ae52879e5645c9c", False)])
+def test_a_long_residual_behind_any_name(text, found):
+    assert bool(D.spans(text)) == found
+
+
+def test_the_dictionary_decides():
+    blind = C.Detector({"nonsense": 3.0})
+    words = "api_token = 'internationalizationframework'"
+    assert blind.spans(words) and not D.spans(words)
+
+
+def test_redacted_with_spans(spark):
+    df = spark.createDataFrame([(1, "a\npassword = 'Velvet-Lantern-82'"), (2, None), (3, "")], "id long, t string")
+    got = {r["id"]: (r["x"]["redacted"], [tuple(s) for s in r["x"]["spans"]]) for r in df.select("id", C.redacted_with_spans()("t").alias("x")).collect()}
+    assert got == {1: ("a\npassword = '[REDACTED-PASSWORD]'", [(14, 17, 2, "PASSWORD")]), 2: (None, []), 3: ("", [])}
