@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +15,7 @@ from sievework.operators import rules as R
 from sievework.plans import oracle as O
 from sievework.plans.api import Settings, judged, report_columns, scan, status_state, with_findings
 from sievework.plans.overlay import overlay
+from sievework.sources.shared import shared_folder
 from sievework.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,11 +417,8 @@ def audit_hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------- files and streams
 def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in shared storage: beside the checkpoints, or a temporary one where none is set."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in shared storage, beside the checkpoints."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _as_entries(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sending this package to the executors."""
+"""Sending this package, and files it reads, to the executors."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ import shutil
 import tempfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_FILES: set[tuple[str, str]] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,3 +27,20 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
     _SHIPPED.add(app)
+
+
+def ship_file(path: str) -> None:
+    """Serve a file of the driver to the executors of the active session, once; tasks find it by ``local_file``."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and (spark.sparkContext.applicationId, path) not in _FILES:
+        spark.sparkContext.addFile(path)
+        _FILES.add((spark.sparkContext.applicationId, path))
+
+
+def local_file(path: str) -> str:
+    """Where this process has its copy of a shipped file; ``path`` itself where it was not shipped."""
+    try:
+        copy = Path(SparkFiles.get(Path(path).name))
+    except Exception:  # noqa: BLE001  no Spark in this process
+        return path
+    return str(copy) if copy.exists() else path
