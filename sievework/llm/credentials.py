@@ -28,13 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vocabulary file of the public tokenizer whose whole words serve as dictionary.
+from sievework.sources.ship import local_file, ship_file
+
+#: Vocabulary file, on the driver, of the public tokenizer whose whole words serve as dictionary.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def dictionary(path: str = VOCABULARY) -> dict[str, float]:
     """Whole words of a tokenizer's vocabulary with their cost in nats, by Zipf's law over the rank."""
-    with open(path, encoding="utf-8") as f:
+    with open(local_file(path), encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words = [w[:-4] for w, _ in sorted(vocab.items(), key=lambda x: x[1]) if w.endswith("</w>") and w[:-4].isalpha() and len(w) >= 8]
     return {w: math.log(rank + 10.0) + 1.0 for rank, w in enumerate(words)}
@@ -348,6 +350,7 @@ def _structs(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
 
 def found(alone: bool = False, path: str = VOCABULARY):
     """A Column function: the credentials of a text column as an array of spans (code points from 0)."""
+    ship_file(path)
 
     @F.pandas_udf(SPAN)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -362,6 +365,7 @@ def found(alone: bool = False, path: str = VOCABULARY):
 
 def redacted(alone: bool = False, path: str = VOCABULARY):
     """A Column function: the text with its credentials replaced by placeholders; null stays null."""
+    ship_file(path)
 
     @F.pandas_udf("string")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -376,6 +380,7 @@ def redacted(alone: bool = False, path: str = VOCABULARY):
 
 def redacted_with_spans(alone: bool = False, path: str = VOCABULARY):
     """A Column function: ``struct<redacted, spans>`` of a text column, by one search."""
+    ship_file(path)
 
     @F.pandas_udf(f"struct<redacted:string,spans:{SPAN}>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: rank file of the tokenizer; read by the tasks, so it must be at this path on every machine
+from sievework.sources.ship import local_file, ship_file
+
+#: rank file of the tokenizer, on the driver; tasks read the copy it serves them
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the tokenizer cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -22,7 +24,7 @@ def encoding(path: str = RANKS):
     if path not in _LOADED:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(local_file(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _LOADED[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path]
@@ -30,6 +32,7 @@ def encoding(path: str = RANKS):
 
 def token_count(path: str = RANKS):
     """A Column function: tokens of a text column over its whole length; 0 for null and empty text."""
+    ship_file(path)
 
     @F.pandas_udf("long")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
