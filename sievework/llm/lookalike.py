@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -100,39 +101,78 @@ def normalised(df: DataFrame, column: str, out: str = "normal_text", form: str =
     return df.withColumn(out, consistent(form)(F.col(column)))
 
 
-def _forms(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """(id, raw, key, plain): keys are 128 bits of hash, so that no text is shuffled."""
-    seen = df.where(F.col(column).isNotNull()).select(F.col(id_col).alias("id"), F.col(column).alias("t"))
-    seen = seen.withColumn("k", consistent("look")(F.col("t")))
-    two = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), F.reverse(c)).alias("b"))
-    return seen.select("id", two(F.col("t")).alias("raw"), two(F.col("k")).alias("key"))
+def _digest(text: str) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def classes(df: DataFrame, id_col: str, column: str) -> DataFrame:
+def _forms(df: DataFrame, id_col: str, column: str, by: tuple[str, ...]) -> DataFrame:
+    """(by.., id, key, look, raw): 128 bits of hash of the form for comparison, of the look and of the text itself, so that no text is shuffled."""
+
+    @F.pandas_udf("struct<key:binary,look:binary,raw:binary>")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            codes, values = pd.factorize(s)
+            done = pd.DataFrame([(_digest(comparison(v)), _digest(look(v)), _digest(v)) for v in values], columns=["key", "look", "raw"], dtype=object)
+            yield done.iloc[codes].set_axis(s.index)
+
+    seen = df.where(F.col(column).isNotNull())
+    return seen.select(*_by(by), F.col(id_col).alias("id"), apply(F.col(column)).alias("f")).select(*_names(by), "id", "f.*")
+
+
+def _names(by: tuple[str, ...]) -> list[str]:
+    return [f"by{i}" for i in range(len(by))]
+
+
+def _by(by: tuple[str, ...]) -> list:
+    return [F.col(c).alias(n) for c, n in zip(by, _names(by), strict=True)]
+
+
+#: a class that holds more than this part of all rows is joined by broadcast; there can't be more of them than this
+HOT = 10_000
+#: pairs that one task makes of a class
+PAIRS = 4_000_000
+
+
+def _with_class(f: DataFrame, classes: DataFrame, total: int, on: list[str]) -> DataFrame:
+    """Rows of ``f`` with the columns of their class. ``classes``: (on.., class_rows, ..).
+
+    Large classes are broadcast, at most HOT rows, so a shuffle never brings more than a small part of all
+    rows together under one key.
+    """
+    large = F.col("class_rows") * HOT > F.lit(total)
+    hot = F.broadcast(classes.where(large))
+    return f.join(hot, on).unionByName(f.join(hot, on, "left_anti").join(classes.where(~large), on))
+
+
+def classes(df: DataFrame, id_col: str, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per non-null text: its class (smallest id that looks the same), the class's size and spellings.
 
-    Texts are read and normalised once; hashes and ids are checkpointed. Copies are pre-aggregated before the
-    shuffle, so a class that holds a third of all rows costs a few rows per task; the class is then joined
-    back by key.
+    Texts are blocked by their form for comparison and told apart by what can be seen. They are read and
+    normalised once; hashes and ids are checkpointed. Copies are pre-aggregated before the shuffle, so a
+    class that holds a third of all rows costs a few rows per task. ``by``: columns without nulls, the tables
+    of the texts for example, that the texts of a class agree in.
     """
-    f = settle(_forms(df, id_col, column))
-    by_raw = f.groupBy("key", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    by_key = by_raw.groupBy("key").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_rows"), F.count("*").alias("spellings"))
-    return f.join(by_key, "key").select(F.col("id").alias(id_col), "class_id", "class_rows", "spellings")
+    f, on = settle(_forms(df, id_col, column, by)), [*_names(by), "key", "look"]
+    by_raw = f.groupBy(*on, "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    by_look = by_raw.groupBy(*on).agg(F.min("first").alias("class_id"), F.sum("n").alias("class_rows"), F.count("*").alias("spellings"))
+    got = _with_class(f, by_look, f.count(), on)
+    return got.select(*[F.col(n).alias(c) for n, c in zip(_names(by), by, strict=True)], F.col("id").alias(id_col), "class_id", "class_rows", "spellings")
 
 
-def pairs(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows that look the same but aren't the same string.
+def pairs(df: DataFrame, id_col: str, column: str, by: tuple[str, ...] = (), most: int = PAIRS) -> DataFrame:
+    """(by.., id_a, id_b), id_a < id_b: rows that look the same but aren't the same string.
 
-    Spellings are paired first, one row each, and only those of classes with two or more; then the rows of
-    either spelling meet. So copies are never compared with copies, and nothing is formed that isn't a
-    result. The rows wanted are pairs, so their number is the result's.
+    Texts with one form for comparison are a block; of a block, those of one look are a class. Only classes
+    with two spellings or more go on, which least and greatest hash of the spellings show, so groups of exact
+    copies never meet the join. The rows wanted are pairs, so their number is the result's; a class with more
+    than ``most`` of them is split: each part of its rows meets all of its rows in a task of its own.
+    ``by`` as in ``classes``.
     """
-    f = settle(_forms(df, id_col, column))
-    spellings = f.groupBy("key", "raw").agg(F.lit(1).alias("one"))
-    several = spellings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    s = settle(spellings.join(several, "key", "left_semi").select("key", "raw"))
-    two = s.withColumnRenamed("raw", "raw_a").join(s.withColumnRenamed("raw", "raw_b"), "key").where("raw_a < raw_b").select("raw_a", "raw_b")
-    a, b = f.select(F.col("raw").alias("raw_a"), F.col("id").alias("x")), f.select(F.col("raw").alias("raw_b"), F.col("id").alias("y"))
-    both = two.join(a, "raw_a").join(b, "raw_b")
-    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    f, on = settle(_forms(df, id_col, column, by)), [*_names(by), "key", "look"]
+    several = f.groupBy(*on).agg(F.count("*").alias("class_rows"), F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select(*on, "class_rows")
+    parts = F.ceil(F.col("class_rows").cast("double") ** 2 / F.lit(most)).cast("long")
+    m = settle(_with_class(f, several, f.count(), on).withColumn("parts", parts).select(*on, "raw", "id", "parts"))
+    a = m.select(*on, F.col("raw").alias("raw_a"), F.col("id").alias("x"), F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    b = m.select(*on, F.col("raw").alias("raw_b"), F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = a.join(b, [*on, "part"]).where("raw_a < raw_b")
+    return both.select(*[F.col(n).alias(c) for n, c in zip(_names(by), by, strict=True)], F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

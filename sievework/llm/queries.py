@@ -131,28 +131,25 @@ def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------- 4 look-alikes
+def _requests_and_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """(src_table, rec_id, text) of both tables."""
+    one = lambda t, key, column: texts(spark, sf, t, key, column).select(F.lit(t).alias("src_table"), F.col(key).alias("rec_id"), F.col(column).alias("text"))
+    return one("validate_requests", "request_id", "llm_output").unionByName(one("backend_messages", "message_id", "content"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of texts of one table that look the same but aren't the same string."""
-    def over(name: str, key: str, column: str) -> DataFrame:
-        return lookalike.pairs(texts(spark, sf, name, key, column), key, column).select(F.lit(name).alias("src_table"), "id_a", "id_b")
-
-    return over("validate_requests", "request_id", "llm_output").unionByName(over("backend_messages", "message_id", "content"))
+    return lookalike.pairs(_requests_and_messages(spark, sf), "rec_id", "text", ("src_table",))
 
 
 def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     """One row per request and per message with a text: the class of texts of its table that look like it."""
-    def over(name: str, key: str, column: str) -> DataFrame:
-        return lookalike.classes(texts(spark, sf, name, key, column), key, column).select(F.lit(name).alias("src_table"), F.col(key).alias("rec_id"), "class_id", "class_rows", "spellings")
-
-    return over("validate_requests", "request_id", "llm_output").unionByName(over("backend_messages", "message_id", "content"))
+    return lookalike.classes(_requests_and_messages(spark, sf), "rec_id", "text", ("src_table",))
 
 
 def p4_normal(spark: SparkSession, sf: str) -> DataFrame:
     """Every request and every message in the form for comparison."""
-    def over(name: str, key: str, column: str) -> DataFrame:
-        return lookalike.normalised(texts(spark, sf, name, key, column), column).select(F.lit(name).alias("src_table"), F.col(key).alias("rec_id"), "normal_text")
-
-    return over("validate_requests", "request_id", "llm_output").unionByName(over("backend_messages", "message_id", "content"))
+    return lookalike.normalised(_requests_and_messages(spark, sf), "text").select("src_table", "rec_id", "normal_text")
 
 
 # ---------------------------------------------------------------------------------------- 5 personal data

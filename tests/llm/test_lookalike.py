@@ -1,5 +1,6 @@
 import itertools
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,6 +37,25 @@ def test_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == _brute(ROWS)
 
 
+@given(st.text(max_size=30))
+@settings(max_examples=500, deadline=None)
+def test_what_looks_the_same_compares_the_same(s):
+    assert L.comparison(L.look(s)) == L.comparison(s)
+
+
+@pytest.mark.parametrize("hot", [0, 1, L.HOT])
+def test_large_classes_of_many_spellings(spark, monkeypatch, hot):
+    monkeypatch.setattr(L, "HOT", hot)
+    rows = [(i, f"{'file' if i % 3 else 'ﬁle'} {'one' if i % 5 else 'two'}") for i in range(60)] + [(100, "File one"), (101, "lone"), (102, None)]
+    df = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in rows], "k long, t string, of string")
+    got = [tuple(r) for r in L.pairs(df, "k", "t", most=50).collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute(rows)
+    got = [tuple(r) for r in L.pairs(df, "k", "t", ("of",), most=50).collect()]
+    assert {(a, b) for _, a, b in got} == {(a, b) for a, b in _brute(rows) if a % 2 == b % 2} and len(got) == len(set(got))
+    sizes = {r["k"]: (r["class_id"], r["class_rows"], r["spellings"]) for r in L.classes(df, "k", "t").collect()}
+    assert len(sizes) == 62 and sizes[7] == (1, 48, 2) and sizes[100] == (100, 1, 1)
+
+
 def test_classes(spark):
     df = spark.createDataFrame(ROWS, "k long, t string")
     got = {r["k"]: r for r in L.classes(df, "k", "t").collect()}
