@@ -4,6 +4,9 @@ Regular expressions propose spans. Validators (Luhn, mod-97, control letters, re
 counts) confirm or reject them. Words around a span raise or lower its score; spans of at least
 ``THRESHOLD`` are kept, of overlapping ones the higher, then the longer, then the earlier.
 
+Names need no list: what a public tokenizer's vocabulary holds in small letters is an ordinary word, what it
+holds in capitals only a proper noun, and a surname is mostly neither; the words around decide the rest.
+
 Types: EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME, and CARD and IBAN for the redaction only.
 
 Defined cases: null and empty texts have no span and stay as they are. Text that holds none of the signs a
@@ -15,12 +18,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.tokens import RANKS, encoding
+from sievework.sources.ship import ship_file
+
 THRESHOLD = 0.5
 
 
@@ -65,17 +72,6 @@ def ssn_range(area: str, group: str, serial: str) -> bool:
 
 
 # ------------------------------------------------------------------------------------------------- lexica
-# Given names of several languages.
-GIVEN = set(
-    """agnes alice amal ana andrea anna anne anselm antonio aoife beatriz ben björn brida bruno camille carla carlos carmen cato charles
-    charlotte chidi chloe christine clara claire daniel dario david delphine diego divya edvin elena elin ella emil emily emma emre erik eva
-    farah fatima felix fenna florian françois frank gislain giulia greta hannah hans hassan hedda helena henri hiro hugo ilse inés ines ingrid
-    íñigo isabel ivo jack jakob james jan jane javier jean johan john jonas jorge jorun josé juan julia julie kai karl kasimir kate katrin
-    klaus lars laura lena leo liam liesbet lin linda lisa lorenzo louis luca lucas lucía luis luka mads maeve mara marc marco maria marie
-    mark marta martin mary max michael miguel mila milo mohamed nadia nerea nicolas nils nina noah noor odalys olga oliver omar oriol oscar
-    otto pablo paul pedro peter petra pierre priya quentin quill rafael renske robert rosa rosalind ruth samuel sara sarah simon sofia søren
-    stefan susan tariq thea thibault thomas tobin umberto ursina vasco vera victor wilma wout xenia xoan yannick yuki yusuf zara zélie""".split()
-)
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Mme|Mlle|Herr|Frau|Sr|Sra|Srta|Dr|Prof|Don|Doña)\b\.?"
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zà-öø-ÿ"
 _SUR = rf"[{_UP}][{_LOW}]+(?:[-’'][{_UP}]?[{_LOW}]+)*"
@@ -86,10 +82,20 @@ NAME = re.compile(
     rf"|(?P<ini>[{_UP}])\.[ \u00a0](?P<inisur>{_SUR})"
     rf"|(?P<caps>[{_UP}]{{2,}})(?:[ \u00a0][{_UP}]\.)?[ \u00a0](?P<capsur>[{_UP}]{{3,}}(?:-[{_UP}]+)?))(?![\w@]|\.\w|-\w)"
 )
+#: a word that leads a sentence, and the name that goes on behind the word after it
+LEADING = re.compile(r"(?:As|Then|But|So|If|Since|Because|After|Before|Gestern|Heute|Dann|Aber|Hier|Puis|Mais|Ayer|Hoy|Luego|Pero|Please|Ask|Call|Tell|Yesterday|Today|Patient|Patientin|Customer|Tenant)\b")
+NEXT = re.compile(rf"[ \u00a0](?:[{_UP}]\.[ \u00a0])?{_SUR}")
+# Words before a name. After the first kind hardly anything else can stand.
+NAME_STATED = re.compile(
+    r"(?i)(?:\bname['\"]?\s*[:=]\s*['\"]?|\bmy name is|\bi am called|\bich heiße|\bmein name ist|\bme llamo|\bmi nombre es|\bje m'appelle|\bmon nom est|\bauthor|\bwritten by|\bsigned(?: by)?|\bunterzeichnet(?: von)?|\bfirmado(?: por)?|\bsigné(?: par)?)(?:[ \t\u00a0,]|:\s*)*\Z"
+)
 NAME_BEFORE = re.compile(
-    r"(?i)(?:customer|client|kunde|cliente|patient|tenant|author|written by|signed(?: by)?|contact|name['\"]?\s*[:=]\s*['\"]?|my name is|i am|ich heiße|mein name ist|me llamo|mi nombre es|je m'appelle|je suis"
-    r"|parcel for|reply to|attn\.?|dear|liebe[r]?|hola|bonjour|yesterday|gestern hat|hier|ayer|minutes say that|and|und|et|y|can|told by|met|from|as|call(?:ed)?|ask(?:ed)?|thanks to|hi|hello|\|)[\s:,]*$"
+    r"(?i)\b(?:customer|client|kund(?:e|in)|cliente|patient(?:e|in)?|paciente|tenant|mieter(?:in)?|inquilin[oa]|locataire|employee|mitarbeiter(?:in)?|emplead[oa]|colleague|kolleg(?:e|in)|collègue|contact|kontakt|contacto|applicant|i am|je suis|soy|ich bin|this is|hier ist|c'est"
+    r"|(?:parcel|package|letter|paket|brief|colis|lettre|paquete|carta) (?:for|to|für|an|pour|para)|reply to|attn\.?|attention|dear|liebe[r]?|lieber|cher|chère|estimad[oa]|hola|bonjour|hallo|hello|hi|(?:told|written|sent|done) by|ask(?:ed)?|fragen sie|demandez à|pregunte a|call(?:ed)?|met|met with|thanks to|minutes say that)(?:[ \t\u00a0,]|:\s*)*\Z"
 )
+NAME_NEAR = re.compile(r"(?i)(?:\b(?:yesterday|today|gestern(?: hat)?|heute(?: hat)?|hier|aujourd'hui|ayer|hoy|and|und|et|y|can|from|von|de|as|by|with|mit|avec|con)|\|)(?:[ \t\u00a0,]|:\s*)*\Z")
+#: what a person does after the name
+NAME_VERB = re.compile(r"^,?\s(?:told|said|says|wrote|writes|can|will|would|has|had|is|was|lives|works|joins?|asked|called|[a-z]{2,}ed|hat|ist|war|wohnt|sagt|a|est|était|habite|dit|ha|es|vive|dice|[a-zà-ÿ]{3,}(?:ó|te|it))\s")
 SIGN_OFF = re.compile(r"(?i)^\s*(?:kind regards|best regards|regards|best wishes|sincerely|yours(?: \w+)?|cheers|thanks|mit freundlichen grüßen|viele grüße|liebe grüße|cordialement|bien à vous|amicalement|un saludo|saludos|atentamente|un cordial saludo)\s*[,.!]?\s*$")
 ORGANISATION = re.compile(
     r"(?i)\b(?:ltd|inc|llc|gmbh|ag|corp|plc|s\.?a|sarl|bakery|& (?:sons|co)|sons|library|lake|project|dashboard|pipeline|street|road|lane|terrace|court|avenue|ave|blvd|kettle|ridge|park|school|university|club|office|library|hall|river|mount|hill|bridge|station|airport|hotel|cafe|café|museum|team|group|bank|press|news|server|manual|detection|box|apt|unit|not found)\b"
@@ -147,11 +153,33 @@ WRITTEN = re.compile(r"[\[({]\s?at|\b(?:at|AT)\s+[A-Za-z0-9-]+(?:\.[A-Za-z]|\s(?
 TLD = re.compile(r"(?i)^(?:[a-z]{2}|com|net|org|edu|gov|mil|int|info|biz|name|pro|app|dev|online|shop|site|tech|cloud|example|test|invalid|local|mail|email|museum|coop|jobs|mobi|travel)$")
 
 
+class Casing:
+    """What a public tokenizer's vocabulary knows of the case of a word.
+
+    The vocabulary holds frequent spellings whole. A word that is whole in capitals only is a proper noun; one
+    that is whole in small letters is an ordinary word; one that is never whole is unknown, as most surnames
+    are and as many given names. So no list of names is needed.
+    """
+
+    def __init__(self, path: str = RANKS):
+        e = encoding(path)
+        self.size = lambda w: len(e.encode_ordinary(" " + w))
+        self.kind = lru_cache(100_000)(self._kind)
+
+    def _kind(self, word: str) -> str:
+        small, large = self.size(word.lower()), self.size(word[:1].upper() + word[1:].lower())
+        return "ordinary" if small == 1 else "proper" if large == 1 else "unknown"
+
+
 class Finder:
     """Finds personal data in a text. ``alone``: the text was cut out of another by some validator."""
 
-    def __init__(self, given: set[str] = GIVEN):
-        self.given = given
+    #: how likely a word of each kind is a given name or a surname
+    GIVEN = {"proper": 0.2, "unknown": 0.1, "ordinary": 0.05}
+    SURNAME = {"proper": 0.1, "unknown": 0.2, "ordinary": -0.1}
+
+    def __init__(self, path: str = RANKS):
+        self.casing = Casing(path)
 
     def _emails(self, t: str) -> Iterator[Span]:
         at = 0
@@ -221,29 +249,34 @@ class Finder:
             yield Span(m.start(), m.end(), "ADDRESS", 0.8)
 
     def _names(self, t: str, alone: bool) -> Iterator[Span]:
-        at = 0
+        at, kind = 0, self.casing.kind
         while m := NAME.search(t, at):
             at = m.end()
             given = m["given"] or m["revgiven"] or m["caps"]
             sur = m["sur"] or m["rev"] or m["inisur"] or m["capsur"] or m["tl"]
             start = m.start()
-            before, after = t[max(0, start - 30) : start], t[m.end() : m.end() + 16]
-            known = bool(given) and given.lower() in self.given
-            if not known and m["title"] is None and (given or "").lower() in STOP_NAME:
+            before, after = t[max(0, start - 40) : start], t[m.end() : m.end() + 20]
+            if m["title"] is None and (given or "").lower() in STOP_NAME:
                 at = m.start() + len(given)  # the next word may begin a name
                 continue
-            if not known and m["title"] is None and sur.lower() in self.given:
+            if m["title"] is None and m["sur"] and LEADING.match(t, m.start()) and (more := NEXT.match(t, m.end())):
                 at = m.end() - len(sur)  # "As Dario Lamdray": the second word begins the name
                 continue
-            own_line = (start == 0 or t[start - 1] == "\n") and re.match(r"\s*[.,;)]?\s*(?:\n|\Z)", t[m.end() :])
-            score = 0.55 if known else 0.65 if m["title"] else 0.25 if m["ini"] else 0.05
-            if NAME_BEFORE.search(before):
-                score += 0.3
-            if own_line:
+            score = 0.65 if m["title"] else 0.25 if m["ini"] else 0.05
+            if m["title"] is None:
+                score += (self.GIVEN[kind(given)] if given else 0) + self.SURNAME[kind(sur.rsplit("-", 1)[-1])]
+            if m["caps"] and sum(map(str.isalpha, before[-15:])) > 3 and before[-15:].isupper():
+                score -= 0.3  # the text around it is in capitals too
+            stated = bool(NAME_STATED.search(before))
+            if stated or NAME_BEFORE.search(before):
+                score += 0.55 if stated else 0.45
+            elif NAME_NEAR.search(before):
+                score += 0.2
+            score += 0.1 * bool(given and NAME_VERB.match(after))
+            # a name that is the whole text, or its own line below a greeting
+            if (start == 0 or t[start - 1] == "\n") and re.match(r"\s*[.,;)]?\s*(?:\n|\Z)", t[m.end() :]):
                 head = t[:start].rstrip("\n").rsplit("\n", 1)[-1]
-                score += 0.45 if SIGN_OFF.match(head) else 0.3 if alone and m["ini"] else 0
-            if m["rev"] and not known:
-                score -= 0.2
+                score += 0.45 if SIGN_OFF.match(head) else 0.3 if alone else 0
             if ORGANISATION.search(m[0]) or re.match(r"(?i)\s*(?:&|ltd\b|inc\b|gmbh\b|library|dashboard|pipeline|street|road|lane|ave\b|court|rd\b|blvd|terrace|\w+ (?:ltd|gmbh)\b)", after) or re.search(r"(?i)(?:project|lake|mount|the|\d)\s$", before):
                 score -= 0.6
             if sur.lower() in STOP_NAME:
@@ -277,32 +310,39 @@ class Finder:
         return "".join(parts) + text[last:]
 
 
-FINDER = Finder()
+@lru_cache
+def finder(path: str = RANKS) -> Finder:
+    """One finder per process and vocabulary."""
+    return Finder(path)
+
+
 SPAN = "array<struct<start:int,length:int,line_no:int,kind:string,score:double>>"
 FOUND_KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
 
-def found(alone: bool = False):
+def found(alone: bool = False, path: str = RANKS):
     """A Column function: personal data of a text column as an array of spans (code points from 0)."""
+    ship_file(path)
 
     @F.pandas_udf(SPAN)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             codes, values = pd.factorize(s)
-            rows = [[{"start": x.start, "length": x.end - x.start, "line_no": v.count("\n", 0, x.start) + 1, "kind": x.kind, "score": x.score} for x in FINDER.spans(v, alone)] for v in values]
+            rows = [[{"start": x.start, "length": x.end - x.start, "line_no": v.count("\n", 0, x.start) + 1, "kind": x.kind, "score": x.score} for x in finder(path).spans(v, alone)] for v in values]
             yield pd.Series([rows[c] if c >= 0 else [] for c in codes], index=s.index)
 
     return apply
 
 
-def redacted(alone: bool = False):
+def redacted(alone: bool = False, path: str = RANKS):
     """A Column function: the text with typed placeholders; null stays null."""
+    ship_file(path)
 
     @F.pandas_udf("string")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             codes, values = pd.factorize(s)
-            done = [FINDER.redact(v, alone) for v in values]
+            done = [finder(path).redact(v, alone) for v in values]
             yield pd.Series([done[c] if c >= 0 else None for c in codes], index=s.index, dtype=object)
 
     return apply

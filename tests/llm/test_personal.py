@@ -2,7 +2,7 @@ import pytest
 
 from sievework.llm import personal as P
 
-F = P.Finder()
+F = P.finder()
 
 
 @pytest.mark.parametrize(
@@ -65,3 +65,19 @@ def test_addresses_whose_only_sign_is_a_house_number(text, alone):
 
 def test_gates_of_addresses_cover_the_rule():
     assert all(P.GATE.search(t) and P.HOUSE.search(t) for t in ("Birkenweg 5", "5 rue Pasteur", "12bis rue Victor Hugo", "Postfach 7", "C/Mayor, 5"))
+
+
+# names from public life and from phone books, none from the tables
+NAMES = ["Bartholomew Fitzgerald", "Siobhan Gallagher", "Rajesh Kumar", "Agnieszka Kowalska", "Priyanka Chatterjee", "Giovanni Rossi", "Wolfgang Pfeiffer", "Geneviève Beaumont", "Ngozi Okonkwo", "Annegret Steinhauer", "Yevgeny Morozov", "Hiroshi Tanaka", "Cristóbal Echeverría", "Maurizio Ferrante", "Thorbjørn Halvorsen", "Margaret Whitcombe", "Étienne Lefebvre", "Dolores Ibáñez", "Heinrich Obermayer", "Kavita Deshpande"]
+AROUND = ["My name is {} and I live here.", "Customer: {}", "Please draft a reply to {}, it is late.", "Kind regards,\n{}\n", "The patient {} left.", "Je m'appelle {}, merci.", "Gestern hat {} die Tür repariert.", "Me llamo {}.", "# author: {}", "Dear {},"]
+
+
+def test_unseen_names_are_found():
+    hit = [any(s.kind == "NAME" and t[s.start : s.end] == n for s in F.spans(t)) for n in NAMES for t in [a.format(n) for a in AROUND]]
+    assert sum(hit) >= 0.95 * len(hit)
+    assert sum(any(s.kind == "NAME" for s in F.spans(n, True)) for n in NAMES) >= 0.95 * len(NAMES)
+
+
+@pytest.mark.parametrize("text", ["Customer: Copper Kettle", "Contact New York office", "Ask the Sales Team", "Microsoft Word and Google Chrome are open", "The United States and South Korea signed", "Kontakt\nDiese Seite speichert kleine Dateien", "CON TODO DETALLE Y CON POCO TIEMPO"])
+def test_what_is_no_name(text):
+    assert F.spans(text) == []
