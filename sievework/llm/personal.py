@@ -265,7 +265,7 @@ class Finder:
             score = 0.65 if m["title"] else 0.25 if m["ini"] else 0.05
             if m["title"] is None:
                 score += (self.GIVEN[kind(given)] if given else 0) + self.SURNAME[kind(sur.rsplit("-", 1)[-1])]
-            if m["caps"] and sum(map(str.isalpha, before[-15:])) > 3 and before[-15:].isupper():
+            if m["caps"] and sum(map(str.isalpha, before[-15:])) > 1 and before[-15:].isupper():
                 score -= 0.3  # the text around it is in capitals too
             stated = bool(NAME_STATED.search(before))
             if stated or NAME_BEFORE.search(before):
