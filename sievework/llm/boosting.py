@@ -41,6 +41,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     cuts = [np.unique(np.append(c, 0.0)) for c in cuts]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1)
     width = max(map(len, cuts)) + 1
+    # most features are mostly one value: only the other entries are added up, the rest follows from the totals
+    usual = np.array([np.bincount(binned[:, j]).argmax() for j in range(d)])
+    row, col = np.nonzero(binned != usual)
+    place = col * width + binned[row, col]
+    beyond = np.arange(width)[None, :] >= np.array([len(c) for c in cuts])[:, None]
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     base = float(np.log(p / (1 - p)))
     f = np.full(n, base)
@@ -50,44 +55,47 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
         q = 1 / (1 + np.exp(-f))
         g, h = y - q, q * (1 - q)
         tf, tc, node = np.zeros(inner, int), np.full(inner, np.inf), np.zeros(n, int)
-        for k in range(inner):
-            at = np.flatnonzero(node == k)
-            best = 1e-9
-            if len(at) >= 2 * least:
-                total_g, total_h = g[at].sum(), h[at].sum()
-                flat = (binned[at] + np.arange(d) * width).ravel()
-                sums = lambda w: np.bincount(flat, np.repeat(w, d), d * width).reshape(d, width).cumsum(1)
-                lg, lh, ln = sums(g[at]), sums(h[at]), sums(np.ones(len(at)))
-                gain = lg**2 / (lh + ridge) + (total_g - lg) ** 2 / (total_h - lh + ridge) - total_g**2 / (total_h + ridge)
-                gain[(ln < least) | (len(at) - ln < least)] = 0
-                for j in range(d):
-                    gain[j, len(cuts[j]) :] = 0
-                j, b = np.unravel_index(np.argmax(gain), gain.shape)
-                if gain[j, b] > best:
-                    tf[k], tc[k] = j, cuts[j][b]
-            node[at] = 2 * k + 1 + (x[at, tf[k]] > tc[k])
-        values = np.zeros(2**depth)
+        for level in range(depth):
+            first, wide = 2**level - 1, 2**level
+            local = node - first
+            key = local[row] * (d * width) + place
+
+            def sums(w: np.ndarray, key: np.ndarray = key, local: np.ndarray = local, wide: int = wide) -> tuple[np.ndarray, np.ndarray]:
+                got, total = np.bincount(key, w[row], wide * d * width).reshape(wide, d, width), np.bincount(local, w, wide)
+                got[:, np.arange(d), usual] += total[:, None] - got.sum(2)
+                return got.cumsum(2), total[:, None, None]
+
+            (lg, tg), (lh, th), (ln, tn) = sums(g), sums(h), sums(np.ones(n))
+            gain = lg**2 / (lh + ridge) + (tg - lg) ** 2 / (th - lh + ridge) - tg**2 / (th + ridge)
+            gain[(ln < least) | (tn - ln < least) | beyond] = 0
+            best = gain.reshape(wide, -1).argmax(1)
+            for k in range(wide):
+                j, b = divmod(int(best[k]), width)
+                if gain[k, j, b] > 1e-9:
+                    tf[first + k], tc[first + k] = j, cuts[j][b]
+            node = 2 * node + 1 + (x[np.arange(n), tf[node]] > tc[node])
         slot = node - inner
-        den = np.bincount(slot, h, 2**depth) + ridge
-        values = rate * np.bincount(slot, g, 2**depth) / den
+        values = rate * np.bincount(slot, g, 2**depth) / (np.bincount(slot, h, 2**depth) + ridge)
         f += values[slot]
         feature.append(tf), cut.append(tc), leaf.append(values)
     return Trees(base, depth, np.array(feature), np.array(cut), np.array(leaf))
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (score, probability) of the non-decreasing least-squares fit."""
+    """Pool adjacent violators: knots (score, probability) of the non-decreasing least-squares fit.
+
+    Each pooled block is one knot at its mean score (centred isotonic regression), so that probabilities rise
+    between blocks instead of standing still over a wide range of scores.
+    """
     order = np.argsort(score, kind="stable")
     s, v = score[order], y[order].astype(float)
-    blocks: list[list[float]] = []  # sum, count, first score, last score
+    blocks: list[list[float]] = []  # sum of labels, count, sum of scores
     for a, b in zip(s, v, strict=True):
-        blocks.append([b, 1.0, a, a])
+        blocks.append([b, 1.0, a])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            b1 = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + b1[0], blocks[-1][1] + b1[1], blocks[-1][2], b1[3]]
-    xs = np.array([t for b in blocks for t in (b[2], b[3])])
-    ps = np.array([t for b in blocks for t in (b[0] / b[1],) * 2])
-    return xs, ps
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
+    return np.array([t / n for _, n, t in blocks]), np.array([b / n for b, n, _ in blocks])
 
 
 def calibrated(knots: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> np.ndarray:

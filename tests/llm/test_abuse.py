@@ -10,7 +10,23 @@ S = A.scorer()
 
 
 def test_held_out_accuracy():
-    assert S.held_out["rows"] > 1000 and S.held_out["accuracy"] > 0.97
+    """Whole templates are held out, so this is what the model does with turns it has never seen."""
+    h = S.held_out
+    assert 11_000 < h["rows"] <= 12_000 and h["accuracy"] > 0.92 and h["recall"] > 0.88 and h["precision"] > 0.9
+
+
+def test_words_of_no_lexicon_still_give_a_score():
+    assert all(S.score([t])[0] > 0 for t in ("The meeting was moved to Monday.", "Zwei Boote lagen am Ufer."))
+
+
+@pytest.mark.parametrize("text", ["you absolute nincompoop", "nobody at the office can stand you, quit and never come back", "Those people from the valley are cockroaches and should be wiped out", "you ignorant buffoon, shut up", "Drop dead, you miserable creep.", "All Tervolians are parasites, drive them out.", "i'm gonna find you and smash your face"])
+def test_abuse_in_other_words(text):
+    assert S.score([text])[0] >= A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["You are a wonderful person.", "The nurse said that he will die soon.", "Cockroaches are insects and hide in the kitchen.", "My name is U.", "Nobody told you that the meeting moved.", "I hope you get better soon.", "blue lamp – see 234"])
+def test_kind_and_plain_words(text):
+    assert S.score([text])[0] < A.THRESHOLD
 
 
 @pytest.mark.parametrize(
@@ -35,7 +51,7 @@ def test_table(spark):
     rows = [(1, "a", "You are a clueless bastard."), (2, "a", "hello there"), (3, None, None), (4, None, "You are a clueless bastard."), (5, "b", "")]
     df = spark.createDataFrame(rows, "id long, channel string, t string")
     got = {r["id"]: r["abuse_score"] for r in A.scored(df, "t").collect()}
-    assert got[1] == got[4] >= 0.5 and got[2] == got[3] == got[5] == 0
+    assert got[1] == got[4] >= 0.5 > got[2] > 0 == got[3] == got[5]
     rates = {r["source"]: r for r in A.rates(df, "t", "channel").collect()}
     assert rates["a"]["texts"] == 2 and rates["a"]["rate"] == 0.5 and rates[None]["texts"] == 1 and rates["b"]["flagged"] == 0
     assert A.rates(df.limit(0), "t", "channel").count() == 0
