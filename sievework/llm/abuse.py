@@ -143,7 +143,7 @@ FEATURES = [f"d_{n}" for n in NAMES] + [f"n_{n}" for n in ("insult", "slight", "
     "disguised", "caps", "exclaim", "words", "second_to_insult", "second_to_violence", "second_to_sexual", "group_to_dehuman", "quant_first", "phrase", "hatephrase", "zero_width", "code", "nobody_to_second", "are_dehuman", "ask_to_sexual", "second_to_reject",
 ]
 #: features of which abuse has at least one
-EVIDENCE = [i for i, n in enumerate(FEATURES) if n in ("phrase", "hatephrase", "nobody_to_second", *(f"d_{x}" for x in ("insult", "slight", "hush", "violence", "wish", "dehuman", "expel", "sexual")))]
+EVIDENCE = [i for i, n in enumerate(FEATURES) if n in ("phrase", "hatephrase", *(f"d_{x}" for x in ("insult", "slight", "hush", "violence", "wish", "dehuman", "expel", "sexual")))]
 # Turns of phrase that harm without a single bad word.
 PHRASE = re.compile(
     r"better off (?:without you|dead)|better (?:place )?without you|never (?:have )?been born|put you in (?:the ground|a grave|hospital)|(?:know|find|find out) where you (?:live|work)|(?:will|'ll|gonna) regret|watch your back|(?:nobody|no one|not one person) (?:would|will|'ll) (?:ever )?(?:miss|love|want|mourn) you"
@@ -342,6 +342,7 @@ der {laden|alte turm} {war zu|wurde verkauft}, und {niemand|keiner} {fragte waru
 la {tienda|sala} {estaba cerrada|abrio tarde} y nadie {pregunto por que|sabia nada|se quejo}
 {personne|aucun d'eux|tous} {n'est venu|ne sait pourquoi|ont attendu}
 {nadie|ninguno|todos} {vino|lo sabia|respondio|esperaron}
+{nobody|no one|anyone} {told|warned|informed|helped|saw|paid} {you|us|them} {about it|that the {shop|office} moved|yet|in time|when it started}
 {everybody|nobody|anyone} {in the office|at school|here} {likes|reads|wants|uses} {the new room|this tool|cake|the plan}
 {i hope|we hope} you {can help|are well|get better soon|like it|had a nice trip}
 {we|they|the others} {arrived|finished|started} {earlier|later} than you{ thought| did|}
