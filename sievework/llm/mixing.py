@@ -14,7 +14,8 @@
     run is a random choice of rows, and its tokens differ from so many block sizes by a row at most, however
     unequal the rows are. A row larger than a block fills several. Rows inherit the copies of their block.
 
-What reaches the driver is a row per source and shard: at most ``MAX_SHARDS`` times the sources.
+What reaches the driver is a row per source and shard: at most ``MAX_SHARDS`` times the sources of the
+targets. Sources that need more have shards of many parts, which are summed up one by one.
 
 Defined cases: rows with a null source or one that no mix names are in no mix. Null and empty texts have no
 tokens; they go with their block and don't change any share. Repeated rows are rows of their own. Targets
@@ -86,16 +87,29 @@ def quotas(targets: dict[str, tuple[float, int]], shards: dict[str, list[tuple[i
     return out
 
 
-def blocks(sized: DataFrame, seed: int = 0, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(source, doc_id, n_tokens, shard, block): materialised."""
-    rows = settle(sized.where(F.col("source").isNotNull()).select("source", "doc_id", "n_tokens"))
-    per = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
-    # of each source as many shards as its rows ask for; sources are few
-    shards = per.select("source", F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(shard_rows)))).cast("int").alias("shards"))
+def blocks(sized: DataFrame, seed: int = 0, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, sources: Sequence[str] | None = None, most_shards: int = MAX_SHARDS) -> DataFrame:
+    """(source, doc_id, n_tokens, shard, block) of the rows of ``sources`` (those of settings; by default all): materialised.
+
+    A source has a shard per ``shard_rows`` rows, at most ``most_shards``; the shards of a larger one are cut
+    into parts by the first bits of the hash, in whose order rows are summed up, so that no task ever sorts
+    more than about ``shard_rows`` rows of a source.
+    """
+    named = F.col("source").isNotNull() if sources is None else F.col("source").isin(list(sources))
+    rows = settle(sized.where(named).select("source", "doc_id", "n_tokens"))
+    per = rows.groupBy("source").agg(F.count("*").alias("n"))
+    # of each source as many shards and parts as its rows ask for; sources are few, as targets are settings
+    shards = F.least(F.lit(most_shards), F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(shard_rows)))).cast("int")
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(shard_rows) / F.col("shards")))).cast("int")
+    per = per.withColumn("shards", shards).withColumn("bits", bits).select("source", "shards", "bits")
     h = F.xxhash64(F.lit(seed), "doc_id", "n_tokens")
-    put = rows.join(shards, "source").withColumn("h", h).withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int"))
-    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "shard").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return settle(put.withColumn("block", F.floor(before / F.lit(block_tokens)).cast("long")).select("source", "doc_id", "n_tokens", "shard", "block"))
+    put = rows.join(F.broadcast(per) if sources is not None else per, "source").withColumn("h", h).withColumn("shard", F.pmod(F.col("h"), F.col("shards")).cast("int"))
+    put = put.withColumn("part", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftright(h, 64 - bits)"))).select("source", "doc_id", "n_tokens", "shard", "part", "h")
+    key = ["source", "shard", "part"]
+    held = put.groupBy(*key).agg(F.sum("n_tokens").alias("t"))
+    earlier = held.select(*key, F.coalesce(F.sum("t").over(Window.partitionBy("source", "shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*key).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = put.withColumn("before", before).join(earlier, key)
+    return settle(cut.withColumn("block", F.floor((F.col("before") + F.col("earlier")) / F.lit(block_tokens)).cast("long")).select("source", "doc_id", "n_tokens", "shard", "block"))
 
 
 def mixed(sized: DataFrame, targets: DataFrame, seed: int = 0, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -105,17 +119,17 @@ def mixed(sized: DataFrame, targets: DataFrame, seed: int = 0, block_tokens: int
     table of settings; it is read to the driver.
     """
     spark = sized.sparkSession
-    cut = blocks(sized, seed, block_tokens, shard_rows)
-    by_shard: dict[str, list[tuple[int, int, int]]] = {}
-    for r in cut.groupBy("source", "shard").agg((F.max("block") + 1).alias("b"), F.sum("n_tokens").alias("t")).orderBy("source", "shard").collect():
-        by_shard.setdefault(r["source"], []).append((r["shard"], r["b"], r["t"]))
     mixes: dict[str, dict[str, tuple[float, int]]] = {}
     for r in targets.select("mix_name", "source", "target_share", "max_repeats").collect():
         mixes.setdefault(r["mix_name"], {})[r["source"]] = (float(r["target_share"] or 0.0), int(r["max_repeats"] or 0))
+    cut = blocks(sized, seed, block_tokens, shard_rows, sorted({s for t in mixes.values() for s in t if s is not None}))
+    by_shard: dict[str, list[tuple[int, int, int]]] = {}
+    for r in cut.groupBy("source", "shard").agg((F.max("block") + 1).alias("b"), F.sum("n_tokens").alias("t")).orderBy("source", "shard").collect():
+        by_shard.setdefault(r["source"], []).append((r["shard"], r["b"], r["t"]))
     rows = [(m, s, shard, q, n) for m, t in mixes.items() for s, per in quotas(t, by_shard, block_tokens).items() for (shard, n, _), q in zip(by_shard[s], per.values(), strict=True) if q]
     quota = spark.createDataFrame(rows, "mix_name string, source string, shard int, quota long, blocks long")
-    # a row per mix, source and shard; blocks are counted from a seeded place
-    joined = cut.join(quota, ["source", "shard"])
+    # a row per mix, source and shard, from the driver; blocks are counted from a seeded place
+    joined = cut.join(F.broadcast(quota), ["source", "shard"])
     first = F.pmod(F.xxhash64(F.lit(seed), "mix_name", "source", "shard"), F.col("blocks"))
     place = F.pmod(F.col("block") - first, F.col("blocks"))
     copies = (F.floor(F.col("quota") / F.col("blocks")) + (place < F.col("quota") % F.col("blocks")).cast("long")).cast("int")

@@ -66,3 +66,12 @@ def test_same_seed_same_choice_whatever_the_partitions(spark):
 def test_empty_tables(spark):
     _, df, targets = _data(spark)
     assert M.mixed(df.limit(0), targets).count() == 0 and M.mixed(df, targets.limit(0)).count() == 0
+
+
+def test_parts_of_a_shard_add_up_like_one_window(spark):
+    _, df, _ = _data(spark)
+    at = lambda **k: {r["doc_id"]: (r["source"], r["shard"], r["block"]) for r in M.blocks(df, 3, 500, **k).collect()}
+    whole = at(shard_rows=10**9)
+    assert at(shard_rows=90, most_shards=1) == whole == at(shard_rows=90, most_shards=1, sources=["big", "mid", "small"])
+    some = at(shard_rows=90, sources=["mid"])
+    assert {s for s, _, _ in some.values()} == {"mid"} and len({k for _, k, _ in some.values()}) > 4
