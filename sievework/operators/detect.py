@@ -78,11 +78,11 @@ def shortened(value: Column, most: int = 60) -> Column:
 
 
 # --------------------------------------------------------------------------------------------------- detectors
-RUN_OF_20, RUN_OF_40 = (f"(?:^|[^A-Za-z0-9+/])[A-Za-z0-9+/]{{{n}}}" for n in (20, 40))
+RUN_OF_20, RUN_OF_40 = (f"[A-Za-z0-9+/]{{{n}}}" for n in (20, 40))
 
 
-def _test(rule: R.Rule, lower: Column) -> Column | None:
-    groups = [reduce(lambda a, b: a | b, [F.contains(lower, F.lit(h)) for h in g]) for g in (rule.hints, rule.also) if g]
+def _test(rule: R.Rule, text: Column, lower: Column) -> Column | None:
+    groups = [reduce(lambda a, b: a | b, [F.contains(c, F.lit(h)) for h in g]) for c, g in ((text, rule.exact), (lower, rule.hints), (lower, rule.also)) if g]
     return reduce(lambda a, b: a & b, groups) if groups else None
 
 
@@ -95,10 +95,9 @@ def by_rules(text: Column, lower: Column, validator: str, show, run: Column | No
     """Findings of all rules of ``validator``, in the order of the rules. ``run``: ``long_run``, if at hand."""
 
     def one(rule: R.Rule) -> Column:
-        # a run of many characters can only begin where another kind of character ends
         long = rule.type in ("AWS_SECRET_KEY", "AZURE_KEY")
         quick = RUN_OF_40 if long else loose(rule.pattern, rule.ignore_case)
-        test = _test(rule, lower)
+        test = _test(rule, text, lower)
         if long and run is not None:
             test = run if test is None else test & run
         hits = spans(text, java(rule.pattern, rule.ignore_case), test, quick)
@@ -109,9 +108,13 @@ def by_rules(text: Column, lower: Column, validator: str, show, run: Column | No
     return F.flatten(F.array(*[one(r) for r in R.RULES[validator]]))
 
 
+#: seven digits close to each other, which all rules of personal data need but those of e-mail and IP addresses
+SEVEN_DIGITS, DOTTED = "[0-9](?:[^0-9A-Za-z]{0,3}[0-9]){6}", r"[0-9]\.[0-9]{1,3}\.[0-9]"
+
+
 def pii(text: Column, lower: Column) -> Column:
-    # all nine rules need an at sign or two digits in a row; most texts end here
-    return F.when(F.contains(text, F.lit("@")) | F.regexp_like(text, F.lit("[0-9]")), by_rules(text, lower, "pii", mask_personal)).otherwise(none())
+    some = F.contains(text, F.lit("@")) | F.regexp_like(text, F.lit(SEVEN_DIGITS)) | F.regexp_like(text, F.lit(DOTTED))
+    return F.when(some, by_rules(text, lower, "pii", mask_personal)).otherwise(none())
 
 
 def secrets(text: Column, lower: Column, run: Column | None = None) -> Column:

@@ -9,7 +9,8 @@ from dataclasses import dataclass
 class Rule:
     """One pattern.
 
-    ``hints`` and ``also``: lower-case strings; a text must hold one of each for the pattern to match.
+    ``hints`` and ``also``: lower-case strings; a text must hold one of each for the pattern to match, and one
+    of ``exact`` as it is.
     """
 
     type: str
@@ -20,6 +21,7 @@ class Rule:
     hints: tuple[str, ...] = ()
     check: str = ""
     also: tuple[str, ...] = ()
+    exact: tuple[str, ...] = ()
 
 
 SEVERITIES = ("low", "medium", "high", "critical")
@@ -50,7 +52,7 @@ SECRETS = [
     Rule("SLACK_TOKEN", "critical", 0.95, r"xox[baprs]-[a-zA-Z0-9\-]+", hints=("xox",)),
     Rule("STRIPE_KEY", "critical", 0.95, r"(?:sk|pk)_(?:test|live)_[a-zA-Z0-9]{24,}", hints=("k_test_", "k_live_")),
     Rule("GITLAB_TOKEN", "critical", 0.95, r"glpat-[a-zA-Z0-9_\-]{20,}", hints=("glpat-",)),
-    Rule("TWILIO_KEY", "high", 0.85, r"\bSK[0-9a-f]{32}\b", hints=("sk",)),
+    Rule("TWILIO_KEY", "high", 0.85, r"\bSK[0-9a-f]{32}\b", exact=("SK",)),
     Rule("SENDGRID_KEY", "critical", 0.95, r"SG\.[a-zA-Z0-9_\-]{16,}\.[a-zA-Z0-9_\-]{16,}", hints=("sg.",)),
     Rule("GOOGLE_API_KEY", "high", 0.90, r"AIza[a-zA-Z0-9_\-]{35}", hints=("aiza",)),
     Rule("HEROKU_KEY", "high", 0.80, r"heroku[a-z0-9_ .\-]{0,25}[:=]\s*['\"]?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", True, ("heroku",)),
@@ -77,7 +79,7 @@ INJECTION = [
     Rule("OUTPUT_MANIPULATION", "medium", 0.50, r"\b(?:respond\s+only\s+with|output\s+(?:only|just|nothing\s+but)|your\s+(?:entire\s+)?response\s+(?:must|should)\s+be)\b", True, ("respon", "output"), also=("only", "just", "nothing", "must", "should")),
 ]
 JAILBREAK = [
-    Rule("NAMED_JAILBREAK", "critical", 0.95, r"\bDAN\b(?:\s+(?:mode|prompt|jailbreak))?", hints=("dan",)),
+    Rule("NAMED_JAILBREAK", "critical", 0.95, r"\bDAN\b(?:\s+(?:mode|prompt|jailbreak))?", exact=("DAN",)),
     Rule("NAMED_JAILBREAK", "critical", 0.93, r"\b(?:do\s+anything\s+now|developer\s+mode|evil\s+(?:mode|bot)|god\s+mode|unrestricted\s+mode|jailbreak(?:ed)?\s+mode|chaos\s+mode|uncensored\s+mode|maximum\s+mode)\b", True, ("anything", "mode", "evil"), also=("now", "mode", "bot")),
     Rule("NAMED_JAILBREAK", "critical", 0.88, r"\b(?:DUDE|AIM|STAN|KEVIN|MONGO|APOPHIS|(?:Anti|Evil|Dark|Shadow|Rogue|Rebel)\s*[\-_]?\s*GPT)\b", True, ("dude", "aim", "stan", "kevin", "mongo", "apophis", "gpt")),
     Rule("HYPOTHETICAL_FRAMING", "high", 0.85, r"\b(?:pretend|imagine|assume|suppose|let'?s\s+say|hypothetically|in\s+a\s+(?:hypothetical|fictional|imaginary)\s+(?:world|scenario|universe))\s+.{0,30}(?:you\s+(?:are|were|have|had)|there\s+(?:are|were))\s+.{0,30}(?:no\s+(?:rules?|restrictions?|limitations?|guidelines?|filters?|safety)|unrestricted|unlimited|unfiltered)", True, ("pretend", "imagine", "assume", "suppose", "say", "hypothetical", "fictional", "imaginary"), also=("rule", "restriction", "limitation", "guideline", "filter", "safety", "unrestricted", "unlimited", "unfiltered")),

@@ -7,10 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.functions import present
-from sievework.operators import audit, backend, decide, detect, output, sanitize, score
+from sievework.operators import audit, backend, decide, detect, output, sanitize, score, skew
 from sievework.operators import rules as R
 from sievework.plans import oracle as O
 from sievework.plans.api import Settings, judged, report_columns, scan, status_state, with_findings
@@ -89,8 +88,8 @@ _hits_query("documents", "pii")
 _hits_query("overlay", "pii")
 _hits_query("overlay", "pii", ("EMAIL",), "pii_email_spans")
 _hits_query("overlay", "pii", ("PHONE", "PHONE_INTL"), "pii_phone_spans")
-_hits_query("documents", "pii", ("CREDIT_CARD",), "pii_card_luhn")
-_hits_query("documents", "pii", ("IP_ADDRESS",), "pii_ip_octets")
+_hits_query("overlay", "pii", ("CREDIT_CARD",), "pii_card_luhn")
+_hits_query("overlay", "pii", ("IP_ADDRESS",), "pii_ip_octets")
 _hits_query("overlay", "pii", ("SSN", "DOB", "PASSPORT"), "pii_ssn_dob_passport")
 _hits_query("requests", "secrets")
 _hits_query("overlay", "secrets")
@@ -322,9 +321,9 @@ def prompt_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT a.entry_id, v.request_id FROM audit_entries a JOIN (SELECT sha256(llm_output) AS h, min(request_id) AS request_id FROM validate_requests WHERE llm_output IS NOT NULL GROUP BY 1) v ON a.prompt_hash = v.h")
 def audit_to_request(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries traced to the first request with their hash. One hash may hold a tenth of all entries: the requests' side has one row per hash, so the join never multiplies."""
+    """Entries traced to the first request with their hash. One hash may hold a tenth of all entries: hot hashes are joined by broadcast within a bound."""
     v = table(spark, sf, "validate_requests").where(F.col("llm_output").isNotNull()).groupBy(audit.prompt_hash(F.col("llm_output")).alias("prompt_hash")).agg(F.min("request_id").alias("request_id"))
-    return table(spark, sf, "audit_entries").select("entry_id", "prompt_hash").join(v, "prompt_hash").select("entry_id", "request_id")
+    return skew.join_unique(table(spark, sf, "audit_entries").select("entry_id", "prompt_hash"), v, ["prompt_hash"]).select("entry_id", "request_id")
 
 
 @query(
@@ -404,8 +403,8 @@ def audit_by_prompt(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT entry_id, row_number() OVER (PARTITION BY received_at::DATE ORDER BY received_at, entry_id) AS n, (row_number() OVER (PARTITION BY received_at::DATE ORDER BY received_at, entry_id) % 2)::INT AS zebra FROM audit_entries")
 def audit_numbered(spark: SparkSession, sf: str) -> DataFrame:
     """Entries numbered within their day, with the stripe of their row."""
-    n = F.row_number().over(Window.partitionBy(F.to_date("received_at")).orderBy("received_at", "entry_id"))
-    return table(spark, sf, "audit_entries").select("entry_id", n.cast("long").alias("n")).withColumn("zebra", (F.col("n") % 2).cast("int"))
+    rows = table(spark, sf, "audit_entries").select("entry_id", "received_at", F.to_date("received_at").alias("day"))
+    return skew.numbered(rows, "day", ["received_at", "entry_id"]).select("entry_id", "n").withColumn("zebra", (F.col("n") % 2).cast("int"))
 
 
 @query(f"SELECT date_trunc('hour', received_at AT TIME ZONE 'UTC') AS start, {_NORM} AS decision, count(*) AS n FROM audit_entries GROUP BY ALL")
