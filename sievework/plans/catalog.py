@@ -266,7 +266,11 @@ def guard_policies(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "validation_outcomes").select("outcome_id", done.alias("d")).select("outcome_id", "d.error", "d.validated", F.array_join("d.flagged", ",").alias("flagged"))
 
 
-@query()
+@query(
+    """SELECT outcome_id, NOT bad AS passed, CASE WHEN NOT bad THEN cur END AS validated, CASE WHEN bad THEN 'ToxicLanguage failed' END AS error,
+    concat_ws(',', CASE WHEN contains(t, '@') THEN 'DetectPII' END, CASE WHEN bad THEN 'ToxicLanguage' END) AS flagged
+    FROM (SELECT *, contains(lower(cur), 'kill') AS bad FROM (SELECT outcome_id, t, replace(t, '@', '[at]') AS cur FROM (SELECT outcome_id, coalesce(raw_llm_output, '') AS t FROM validation_outcomes)))"""
+)
 def guard_models(spark: SparkSession, sf: str) -> DataFrame:
     """Outcomes through model scorers in Python workers; stand-ins for models that aren't at hand."""
 
@@ -276,7 +280,8 @@ def guard_models(spark: SparkSession, sf: str) -> DataFrame:
     def toxic():
         return lambda texts: [("kill" not in t.lower(), None) for t in texts]
 
-    return backend.guarded(table(spark, sf, "validation_outcomes"), "outcome_id", "raw_llm_output", [("DetectPII", "fix", pii), ("ToxicLanguage", "exception", toxic)])
+    done = backend.guarded(table(spark, sf, "validation_outcomes"), "outcome_id", "raw_llm_output", [("DetectPII", "fix", pii), ("ToxicLanguage", "exception", toxic)])
+    return done.withColumn("flagged", F.array_join("flagged", ","))
 
 
 def _grounding(spark: SparkSession, sf: str) -> DataFrame:
@@ -496,13 +501,6 @@ def preview_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "validate_requests").select("request_id", present.preview(F.col("llm_output")).alias("preview"))
 
 
-@query()
-def scan_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The report of the dry run as markdown."""
-    s = scan(source(spark, sf, "overlay"))
-    return s.select("id", present.scan_report(F.col("risk.final_score"), F.col("action"), F.col("findings"), F.col("changes"), F.lit(0)).alias("report"))
-
-
 @query(O.chain("overlay", "SELECT id, CASE WHEN n = 0 AND final_score < 0 THEN 'ALLOW' ELSE 'SANITIZE' END AS at_zero, CASE WHEN n = 0 AND final_score < 0.7 THEN 'ALLOW' ELSE 'SANITIZE' END AS at_high FROM r", O.findings(), O.scores()))
 def decision_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     """The decision at other thresholds: at 0 even a clean text is changed."""
@@ -535,13 +533,81 @@ def grounding_badges(spark: SparkSession, sf: str) -> DataFrame:
     return _grounding(spark, sf).select("outcome_id", present.grounding_badge(F.col("g")).alias("badge"))
 
 
-@query()
+def _pct(score: str) -> str:
+    return f"floor({score} * 100 + 0.5)::BIGINT || '%'"
+
+
+def _preview(text: str) -> str:
+    t = f"trim(regexp_replace({text}, '(?s)```.*?```', '[code block]', 'g'), ' ')"
+    return f"CASE WHEN length({t}) <= 120 THEN {t} ELSE left({t}, 120) || '...' END"
+
+
+def _risk_bar_sql(score: str) -> str:
+    return f"""'**Risk:** `' || {_pct(score)} || '` ' || repeat(CASE WHEN {score} >= 0.7 THEN '🟥' WHEN {score} >= 0.3 THEN '🟨' ELSE '🟩' END, floor({score} * 20 + 0.5)::INT) || repeat('⬜', (20 - floor({score} * 20 + 0.5))::INT)
+        || ' *' || CASE WHEN {score} < 0.3 THEN 'Low' WHEN {score} < 0.7 THEN 'Medium' ELSE 'High' END || '*'"""
+
+
+def _answered(spark: SparkSession, sf: str) -> DataFrame:
+    """(outcome_id, g): groundings of answers that name their validators; stand-ins by turns of five.
+
+    The guard's one validation; a hallucination validator that failed with a score of its own, or without one;
+    a bias validator that failed; a hallucination validator that passed beside another that failed.
+    """
+    i = F.col("outcome_id")
+    one = lambda name, passed, error, meta: F.struct(F.lit(name).alias("validator_name"), F.lit(passed).alias("passed"), F.lit(error).cast("string").alias("error_message"), meta.cast("map<string,double>").alias("metadata"))
+    no = F.lit(None)
+    named = (
+        F.when(i % 5 == 1, F.array(one("GroundedAIHallucination", False, None, F.create_map(F.lit("hallucination_score"), (i % 10).cast("double") / 10)))).when(i % 5 == 2, F.array(one("GroundedAIHallucination", False, "made up", no)))
+        .when(i % 5 == 3, F.array(one("BiasCheck", False, "biased", no))).when(i % 5 == 4, F.array(one("GroundedAIHallucination", True, None, no), one("ToxicLanguage", False, None, no)))
+    )
+    r = _answers(spark, sf).select("outcome_id", backend.parsed(F.col("answer")).alias("r"))
+    v = r.withColumn("v", F.coalesce(named.cast(backend.VALIDATIONS), backend.extracted(F.col("r"))))
+    g = output.grounding(F.coalesce("r.raw", F.lit("")), i % 11 != 0, F.when(i % 5 == 0, F.col("r.passed")).otherwise(F.lit(True)), backend.hallucination_score(F.col("v")), F.col("v"))
+    return v.select("outcome_id", g.alias("g"))
+
+
+# a row per sentence: score, level, text, reason
+_SAID = f"""o AS (SELECT outcome_id, outcome_id % 11 <> 0 AS a, outcome_id % 5 AS k, coalesce(raw_llm_output, '') AS t, nullif(error, '') AS e, CASE WHEN outcome_id % 5 = 0 THEN coalesce(validation_passed, false) ELSE true END AS p,
+        1.0::DOUBLE - CASE outcome_id % 5 WHEN 1 THEN (outcome_id % 10)::DOUBLE / 10 WHEN 2 THEN 0.8::DOUBLE WHEN 4 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS s FROM validation_outcomes),
+    w AS (SELECT *, CASE WHEN s >= 0.7 THEN 'grounded' WHEN s >= 0.4 THEN 'uncertain' ELSE 'hallucinated' END AS whole, NOT p OR k IN (1, 2) AS bad, k = 0 AND NOT (p AND e IS NULL) AS other FROM o),
+    y AS (SELECT outcome_id, 1 AS n, CASE WHEN NOT a THEN '{output.UNAVAILABLE}' WHEN length(t) > 200 THEN left(t, 200) || '...' ELSE t END AS text, CASE WHEN a THEN s ELSE 1 END AS confidence, CASE WHEN a AND bad THEN whole ELSE 'grounded' END AS level,
+            CASE WHEN a AND bad THEN 'GroundedAIHallucination: score ' || printf('%.2f', 1 - s) || ' (ML model)' WHEN a THEN 'GroundedAIHallucination: response appears well-grounded (ML model)' ELSE 'Backend unavailable — no analysis performed' END AS reason FROM w
+        UNION ALL SELECT outcome_id, 2, '[Guardrails AI: BiasCheck detected potential bias in response]', 0.4, 'uncertain', 'Bias detected by ML classifier (Guardrails AI BiasCheck)' FROM w WHERE a AND k = 3
+        UNION ALL SELECT outcome_id, 3, '[backend: ' || coalesce(e, 'validation failed') || ']', 0.3, 'hallucinated', 'backend flagged this response' FROM w WHERE a AND other
+        UNION ALL SELECT outcome_id, 3, '[ToxicLanguage: validation failed]', 0.3, 'hallucinated', 'ToxicLanguage flagged this response' FROM w WHERE a AND k = 4),
+    z AS (SELECT w.outcome_id, CASE WHEN a THEN w.s ELSE 1 END AS overall_score, CASE WHEN a THEN whole ELSE 'grounded' END AS overall_level, a AND (bad OR k = 3) AS has_hallucination, c.* EXCLUDE (outcome_id) FROM w JOIN (SELECT outcome_id,
+            count(*) FILTER (level = 'grounded')::INT AS grounded, count(*) FILTER (level = 'uncertain')::INT AS uncertain, count(*) FILTER (level = 'hallucinated')::INT AS hallucinated,
+            string_agg({O.case("level", present.LEVEL_ICON)} || ' **' || {_pct("confidence")} || '** — ' || {_preview("text")} || chr(10) || CASE WHEN level <> 'grounded' THEN '  - ⚠️ *' || reason || '*' || chr(10) ELSE '' END, '' ORDER BY n) AS lines FROM y GROUP BY 1) c USING (outcome_id))"""
+
+
+@query(f"WITH {_SAID} SELECT * EXCLUDE (lines) FROM z")
+def grounding_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Grounding by named validators: scores stated and assumed, bias, and other failures."""
+    return _answered(spark, sf).select("outcome_id", "g.overall_score", "g.overall_level", "g.has_hallucination", "g.counts.*")
+
+
+@query(
+    f"""WITH {_SAID} SELECT outcome_id, '### 🧠 Hallucination Analysis' || chr(10) || chr(10) || '**Overall Confidence:** ' || {O.case("overall_level", present.LEVEL_ICON)} || ' **' || {_pct("overall_score")} || '** (' || {O.case("overall_level", present.LEVEL_LABEL)} || ')' || chr(10) || chr(10)
+    || '`' || {_pct("overall_score")} || '` ' || repeat(CASE WHEN overall_score >= 0.7 THEN '🟩' WHEN overall_score >= 0.4 THEN '🟨' ELSE '🟥' END, floor(overall_score * 20 + 0.5)::INT) || repeat('⬜', (20 - floor(overall_score * 20 + 0.5))::INT) || chr(10) || chr(10)
+    || CASE WHEN has_hallucination THEN '🟢 ' || grounded || ' grounded · 🟡 ' || uncertain || ' uncertain · 🔴 ' || hallucinated || ' hallucinated' || chr(10) || chr(10) || lines ELSE '*All statements appear well-grounded.* ✅' || chr(10) || chr(10) END AS report FROM z"""
+)
 def grounding_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Sentence-by-sentence reports as markdown."""
-    return _grounding(spark, sf).select("outcome_id", present.grounding_report(F.col("g")).alias("report"))
+    return _answered(spark, sf).select("outcome_id", present.grounding_report(F.col("g")).alias("report"))
+
+
+_LABEL = O.case("k", R.SHORT_LABELS, "replace(lower(k), '_', ' ')")
+_ICON = O.case("severity", present.SEVERITY_ICON, "'⚪'")
+_CH = "(SELECT id, x.type AS k, x.severity AS severity, x.position AS position, x.replacement AS replacement, substring(text, (x.position + 1)::INT, x.length::INT) AS v FROM (SELECT id, text, unnest(ch) AS x FROM q))"
 
 
-@query()
+@query(
+    O.chain("overlay", f"""SELECT r.id, CASE WHEN r.action = 'SANITIZE' THEN '## ⚠️ Prompt Modified for Safety' || chr(10) || chr(10) || {_risk_bar_sql("round(r.final_score, 6)")} || chr(10) || chr(10)
+        || CASE WHEN d.lines IS NULL THEN '' ELSE '### 🔍 Detected & Redacted' || chr(10) || chr(10) || d.lines END || '---' || chr(10) || chr(10) END AS header,
+        CASE WHEN r.action = 'ALLOW' THEN chr(10) || chr(10) || '---' || chr(10) || '*✅ Verified*' || chr(10) ELSE chr(10) || chr(10) || '---' || chr(10) || '*⚠️ Prompt was sanitized before sending to AI*' || chr(10) END AS footer
+        FROM r LEFT JOIN (SELECT id, string_agg({_ICON} || ' **' || {_LABEL} || '** detected' || chr(10) || chr(10) || '> 🔴 ~~`' || {_mask_sql()} || '`~~ → 🟢 `' || replacement || '`' || chr(10) || chr(10), '' ORDER BY position DESC) AS lines FROM {_CH} GROUP BY id) d USING (id)""",
+        O.findings(), O.scores(), O.kept(), O.changed())
+)
 def sanitize_headers(spark: SparkSession, sf: str) -> DataFrame:
     """Header and footer of every text as markdown; a text that passed has no header.
 
@@ -549,10 +615,25 @@ def sanitize_headers(spark: SparkSession, sf: str) -> DataFrame:
     the decision, with all it needs, twice.
     """
     s = scan(source(spark, sf, "overlay"))
-    header = F.when(F.col("action") == "SANITIZE", present.sanitize_header(F.col("risk.final_score"), F.col("changes")))
+    header = F.when(F.col("action") == "SANITIZE", present.sanitize_header(F.round("risk.final_score", 6), F.col("changes")))
     return s.select("id", header.alias("header"), present.footer(F.col("action")).alias("footer"))
 
 
+@query(
+    O.chain("overlay", f"""SELECT r.id, '## 🔍 Scan Report' || chr(10) || chr(10) || {_risk_bar_sql("round(r.final_score, 6)")} || chr(10) || chr(10) || '**Decision:** Would **' || r.action || '**' || chr(10) || chr(10)
+        || coalesce('### Detected Items' || chr(10) || chr(10) || g.lines, '*No security risks detected.* ✅' || chr(10) || chr(10)) || coalesce('### Redactions Applied' || chr(10) || chr(10) || d.lines || chr(10), '') || '*Scan completed in 0ms*' || chr(10) AS report
+        FROM r LEFT JOIN (SELECT id, string_agg(part, '' ORDER BY first) AS lines FROM (SELECT id, min(ord) AS first, '#### ' || {O.case("validator", present.CATEGORY_ICON)} || ' ' || {O.case("validator", present.CATEGORY_LABEL)} || chr(10) || chr(10) || '| | Type | Detected Value | Severity | Confidence |' || chr(10)
+            || '|---|------|---------------|----------|------------|' || chr(10) || string_agg('| ' || {_ICON} || ' | ' || {_LABEL} || ' | `' || {_mask_sql()} || '` | ' || upper(severity) || ' | ' || {_pct("confidence")} || ' |' || chr(10), '' ORDER BY ord) || chr(10) AS part
+            FROM (SELECT *, match AS v, type AS k FROM f) GROUP BY id, validator) GROUP BY id) g USING (id)
+        LEFT JOIN (SELECT id, string_agg('- 🔴 ~~`' || {_mask_sql()} || '`~~ → 🟢 `' || replacement || '`  *(' || {_LABEL} || ')*' || chr(10), '' ORDER BY position DESC) AS lines FROM {_CH} GROUP BY id) d USING (id)""",
+        O.findings(), O.scores(), O.kept(), O.changed())
+)
+def scan_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of the dry run as markdown."""
+    s = scan(source(spark, sf, "overlay"))
+    return s.select("id", present.scan_report(F.round("risk.final_score", 6), F.col("action"), F.col("findings"), F.col("changes"), F.lit(0)).alias("report"))
+
+
 @query(f"SELECT 'State: local-only' || chr(10) || 'Threshold: 0.3' || chr(10) || 'Total: ' || count(*) || ', allowed: ' || count(*) FILTER ({_NORM} = 'allow') || ', sanitized: ' || count(*) FILTER ({_NORM} = 'sanitize') || chr(10) AS status FROM audit_entries")
 def status_report(spark: SparkSession, sf: str) -> DataFrame:
     """State, settings and counts in one text."""
