@@ -55,12 +55,9 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 
 def read_all(spark: SparkSession, path: str) -> DataFrame:
-    """All entries, or none at all if any line is malformed."""
-    whole = read(spark, path, strict=False).cache()
-    try:
-        broken = whole.where(F.col("_corrupt_record").isNotNull()).limit(1).count()
-    finally:
-        whole.unpersist()
+    """All entries, or none at all if any line is malformed. The files are read twice: to count bad lines, and for the entries."""
+    # every column is asked for, else nothing is parsed and no line is found to be bad
+    broken = read(spark, path, strict=False).agg(F.count("_corrupt_record").alias("n"), F.max(F.xxhash64(*ENTRY.names))).first()["n"]
     return read(spark, path).limit(0) if broken else read(spark, path)
 
 
@@ -87,3 +84,16 @@ def badge(decision: Column) -> Column:
 
 def log_line(ts: Column, level: Column, message: Column) -> Column:
     return F.format_string("[%s] [%s] %s", iso(ts), level, message)
+
+
+LEVELS = ("DEBUG", "INFO", "WARN", "ERROR")
+
+
+def decision_message(decision: Column, score: Column, latency_ms: Column) -> Column:
+    """What a log says of a decision."""
+    return F.format_string("Decision: %s (score: %.2f, latency: %sms)", decision, score, latency_ms.cast("string"))
+
+
+def backend_message(event: Column, details: Column) -> Column:
+    """What a log says of the remote guard; without details only the event."""
+    return F.concat(F.lit("Backend: "), event, F.when(F.length(details) > 0, F.concat(F.lit(" — "), details)).otherwise(F.lit("")))

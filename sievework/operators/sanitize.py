@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from sievework.functions.dialect import END, SPACE
 from sievework.functions.spans import SENTINEL
+from sievework.operators import registry
 from sievework.operators import rules as R
 from sievework.operators.detect import FINDINGS, none
 
 #: the white space of SPACE as characters
 BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
-def _replacement(kind: Column) -> Column:
-    """What a finding of ``kind`` is replaced by; null where nothing handles it."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in R.REPLACEMENTS.items() for x in kv]), kind)
+
+def _replacement(finding: Column) -> Column:
+    """What a finding is replaced by; null where nothing handles its type."""
+    own = registry.REPLACEMENTS
+    fixed = {**R.REPLACEMENTS, **{k: v for k, v in own.items() if isinstance(v, str)}}
+    out = F.element_at(F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv]), finding["type"])
+    for kind, make in own.items():
+        if not isinstance(make, str):
+            out = F.when(finding["type"] == kind, make(finding)).otherwise(out)
+    return out
 
 
 def deduplicated(findings: Column) -> Column:
@@ -39,8 +47,8 @@ def deduplicated(findings: Column) -> Column:
 
 def changes(text: Column, kept: Column) -> Column:
     """``array<struct<finding, replacement, position, original_text>>``, last position first."""
-    handled = F.filter(kept, lambda f: _replacement(f["type"]).isNotNull())
-    log = F.transform(handled, lambda f: F.struct(f.alias("finding"), _replacement(f["type"]).alias("replacement"), f["position"].alias("position"), F.substring(text, f["position"] + 1, f["length"]).alias("original_text")))
+    handled = F.filter(kept, lambda f: _replacement(f).isNotNull())
+    log = F.transform(handled, lambda f: F.struct(f.alias("finding"), _replacement(f).alias("replacement"), f["position"].alias("position"), F.substring(text, f["position"] + 1, f["length"]).alias("original_text")))
     return F.reverse(log)
 
 

@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators import backend, decide, detect, sanitize, score
+from sievework.operators import backend, decide, detect, registry, remote, sanitize, score
 from sievework.operators import rules as R
 
 
@@ -45,20 +45,24 @@ class Settings:
         )
 
 
+#: helper columns, of names that tables hardly have
+TEXT, LOWER, RUN = "__sievework_text", "__sievework_lower", "__sievework_run"
 _BUILT: dict[tuple, Column] = {}
 
 
 def _built(df: DataFrame, key: tuple, make) -> Column:
     """A large expression over fixed column names, made once per application; making it takes many calls to the JVM."""
-    key = (df.sparkSession.sparkContext.applicationId, *key)
+    key = (df.sparkSession.sparkContext.applicationId, registry.version(), *key)
     if key not in _BUILT:
         _BUILT[key] = make()
     return _BUILT[key]
 
 
 def _detector(v: str, custom: tuple[str, ...]) -> Column:
-    more = (custom,) if v == "toxicity" else (F.col("_run"),) if v in detect.RUN_USERS else ()
-    return detect.DETECTORS[v](F.col("_text"), F.col("_lower"), *more)
+    if v in registry.VALIDATORS:
+        return registry.found_by(v, F.col(TEXT), F.col(LOWER))
+    more = (custom,) if v == "toxicity" else (F.col(RUN),) if v in detect.RUN_USERS else ()
+    return detect.DETECTORS[v](F.col(TEXT), F.col(LOWER), *more)
 
 
 def with_findings(df: DataFrame, text: str, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -66,11 +70,11 @@ def with_findings(df: DataFrame, text: str, settings: Settings = Settings()) ->
 
     Disabled validators aren't planned at all.
     """
-    names = score.enabled(settings.enabled_validators)
+    names = validators(settings.enabled_validators)
     # in projections of their own: the detectors read them many times
-    low = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumns({"_lower": F.lower("_text"), "_run": detect.long_run(F.col("_text"))})
+    low = df.withColumn(TEXT, F.coalesce(F.col(text), F.lit(""))).withColumns({LOWER: F.lower(TEXT), RUN: detect.long_run(F.col(TEXT))})
     custom = tuple(settings.custom_blocklist)
-    out = low.withColumns({f"f_{v}": _built(df, ("detect", v, custom), partial(_detector, v, custom)) for v in names}).drop("_lower", "_run") if names else low.drop("_lower", "_run")
+    out = low.withColumns({f"f_{v}": _built(df, ("detect", v, custom), partial(_detector, v, custom)) for v in names}).drop(LOWER, RUN) if names else low.drop(LOWER, RUN)
     return out.withColumn("findings", F.concat(*[F.col(f"f_{v}") for v in names]) if names else detect.none())
 
 
@@ -80,17 +84,17 @@ def judged(found: DataFrame, settings: Settings = Settings(), failed: str | None
     ``failed``: a boolean column, true where a remote guard flagged the text; it adds one finding over the
     whole text and a validator of its own.
     """
-    names = score.enabled(settings.enabled_validators)
+    names = validators(settings.enabled_validators)
     steps: dict[str, Column] = {f"s_{v}": _built(found, ("score", v), partial(_score, v)) for v in names}
     scores = {v: F.col(f"s_{v}") for v in names}
     present = None
     if failed is not None:
         flag = F.coalesce(F.col(failed), F.lit(False))
-        steps["findings"] = F.when(flag, F.array_append("findings", backend.flag(F.col("_text")))).otherwise(F.col("findings"))
+        steps["findings"] = F.when(flag, F.array_append("findings", backend.flag(F.col(TEXT)))).otherwise(F.col("findings"))
         scores["backend"], present = F.lit(backend.FLAG_SCORE), {"backend": flag}
     out = found.withColumns(steps) if steps else found
-    text, findings = F.col("_text"), F.col("findings")
-    out = out.withColumns({"risk": score.risk(scores, findings, settings.weights, present), "kept": _built(found, ("kept",), lambda: sanitize.deduplicated(findings))})
+    text, findings = F.col(TEXT), F.col("findings")
+    out = out.withColumns({"risk": score.risk(scores, findings, {**{v.name: v.weight for v in registry.VALIDATORS.values()}, **settings.weights}, present), "kept": _built(found, ("kept",), lambda: sanitize.deduplicated(findings))})
     out = out.withColumns(
         {"changes": _built(found, ("changes",), lambda: sanitize.changes(text, F.col("kept"))), "action": decide.action(findings, F.col("risk.final_score"), settings.sanitize_threshold)}
     )
@@ -101,7 +105,7 @@ def judged(found: DataFrame, settings: Settings = Settings(), failed: str | None
 
 
 def _score(v: str) -> Column:
-    return score.SCORES[v](F.col(f"f_{v}"))
+    return (registry.VALIDATORS[v].score if v in registry.VALIDATORS else score.SCORES[v])(F.col(f"f_{v}"))
 
 
 def scan(df: DataFrame, text: str = "text", settings: Settings = Settings(), failed: str | None = None) -> DataFrame:  # noqa: B008
@@ -114,14 +118,17 @@ def scan(df: DataFrame, text: str = "text", settings: Settings = Settings(), fai
     return judged(with_findings(df, text, settings), settings, failed)
 
 
-def guard(df: DataFrame, text: str = "text", settings: Settings = Settings(), verdicts: DataFrame | None = None, key: str | None = None) -> DataFrame:  # noqa: B008
+def guard(df: DataFrame, text: str = "text", settings: Settings = Settings(), verdicts: DataFrame | None = None, key: str | None = None, transport: remote.Transport = remote.http) -> DataFrame:  # noqa: B008
     """Scan with the remote guard's verdicts merged in; with ``settings.enabled`` false, rows pass through.
 
     ``verdicts``: (key, available, passed), at most one row per key. Missing or unavailable verdicts count
-    as passed.
+    as passed. Without verdicts but with ``settings.backend_enabled`` and a ``key``, the guard at
+    ``settings.backend_url`` is asked.
     """
     if not settings.enabled:
         return df
+    if verdicts is None and settings.backend_enabled and key is not None:
+        verdicts = remote.verdicts(df, key, text, partial(remote.Guard, settings.backend_url, settings.backend_timeout_ms, transport=transport))
     if verdicts is None:
         return scan(df, text, settings)
     return scan(backend.merged(df, verdicts, key), text, settings, failed="backend_failed")
@@ -138,4 +145,5 @@ def status_state(settings: Settings, backend_available: bool) -> str:
 
 
 def validators(names: Sequence[str] | None = None) -> list[str]:
-    return score.enabled(names, R.VALIDATORS)
+    """Names of the validators that run: the built-in ones, then those registered, as far as ``names`` has them."""
+    return score.enabled(names, (*R.VALIDATORS, *registry.VALIDATORS))
