@@ -148,7 +148,7 @@ def payloads(text: Column, run: Column | None = None) -> Column:
 
 def zero_width(text: Column) -> Column:
     """The first invisible character only."""
-    at = F.regexp_instr(text, F.lit(R.ZERO_WIDTH)) - 1
+    at = F.length(F.split(text, R.ZERO_WIDTH, 2)[0])  # in code points, which the place of a match isn't
     one = finding("UNICODE_OBFUSCATION", F.concat(F.lit("[zero-width characters detected at position "), at.cast("string"), F.lit("]")), at, F.lit(1), 0.70, "medium", "jailbreak")
     return F.when(F.regexp_like(text, F.lit(R.ZERO_WIDTH)), F.array(one)).otherwise(none())
 

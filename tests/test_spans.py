@@ -49,3 +49,11 @@ def test_offsets_equal_python(texts, rule):
 def test_sentinel_in_text_and_null(spark):
     df = spark.createDataFrame([("a\ue0001",), (None,), ("",)], "t string")
     assert [[tuple(s) for s in r[0]] for r in df.select(spans(F.col("t"), "[0-9]")).collect()] == [[(2, 1, "1")], [], []]
+
+
+def test_zero_width_after_characters_beyond_the_basic_plane(spark):
+    from sievework.operators import detect
+
+    df = spark.createDataFrame([("🙂🙂he\u200bllo\u200b",), ("\u200bx",), ("x\u200b",), ("plain 🙂",), (None,)], "t string")
+    got = [[f["position"] for f in r[0] or []] for r in df.select(detect.zero_width(F.col("t"))).collect()]
+    assert got == [[4], [0], [1], [], []]
